@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from jaglet.llm import jaccard
+from jaglet.llm import decontaminate, jaccard, langid, linededup, packing
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_language_id": langid.op4_language_id,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
 }
 ORACLES = {
+    "op1_line_dedup": linededup.OP1_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
 }

@@ -32,6 +32,8 @@ ALNUM = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 #: Words between white space.
 BLANKS = separators((0x20, 0x20), (0x09, 0x0D))
 
+EXACT = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) | U64(1)
+
 _power = np.ones(1, U64)
 _unpower = np.ones(1, U64)
 
@@ -111,6 +113,22 @@ def _block(data, lo, hi, edges, in_word):
     return h, starts + lo, ends + lo
 
 
+def exact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Second, case-keeping hashes of the spans data[starts:ends], which ascend and don't overlap."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    out, i = [], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        power, unpower = _tables(hi - lo + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, U64), np.cumsum(EXACT[data[lo:hi]] * power[: hi - lo], dtype=U64)))
+            out.append(mix((sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * unpower[starts[i:j] - lo]))
+        i = j
+    return np.concatenate(out)
+
+
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, text of each): runs of `size` consecutive words; the whole of a shorter text is one run."""
     counts = np.diff(first)
