@@ -39,7 +39,8 @@ SKETCH_BITS = 18
 BLOOM_BITS = 23
 #: A bucket of the sketch is hot from this many times the mean on, and then has a block per such multiple.
 HOT = 32
-PARTS = 32
+#: Hash ranges whose shingles a signature counts, up to 255 each, for the suffix filter.
+PARTS = 128
 CHUNK = 1 << 20
 
 
@@ -111,7 +112,7 @@ class Join:
                 ns.append(n), lengths.append(take)
             join = lambda x: np.concatenate(x)
             ends = np.concatenate(([0], np.cumsum(join(lengths)))).astype(np.int32)
-            packed = join(parts).astype("<u4").reshape(-1, PARTS)
+            packed = np.minimum(join(parts), 255).astype(np.uint8).reshape(-1, PARTS)
             return pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(join(ns)), pa.array(join(f1)), pa.array(join(f2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(join(prefixes))), pa.array([x.tobytes() for x in packed], pa.binary())],
                 ["doc_id", "n", "fp1", "fp2", "prefix", "parts"],
@@ -226,8 +227,8 @@ class Join:
         near = pairs.join(a, F.col("a") == F.col("anode")).join(b, F.col("b") == F.col("bnode"))
 
         def suffix(batch: pa.RecordBatch) -> pa.RecordBatch:
-            # how many shingles differ is at least the sum over hash ranges of the difference of their counts
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64) for c in ("aparts", "bparts"))
+            # at least as many shingles differ as the counts of the hash ranges do in sum; capped counts differ less
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64) for c in ("aparts", "bparts"))
             na, nb = batch.column("an").to_numpy(), batch.column("bn").to_numpy()
             ok = np.abs(x - y).sum(1) <= na + nb - 2 * at_least(percent, na, nb)
             return pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[ok]) for c in ("a", "b")], ["a", "b"])
