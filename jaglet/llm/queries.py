@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jaglet.llm import decontaminate, jaccard, langid, linededup, packing
+from jaglet.llm import decontaminate, jaccard, langid, linededup, packing, pii, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_personal_data": pii.op9_personal_data,
 }
 ORACLES = {
     "op1_line_dedup": linededup.OP1_SQL,
