@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from jaglet.llm import decontaminate, hnsw, jaccard, langid, linededup, packing, pii, tokencounts, toxicity
+from jaglet.llm import decontaminate, hnsw, htmlextract, jaccard, langid, linededup, packing, pii, tokencounts, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_html_extraction": htmlextract.op3_html_extraction,
     "op4_language_id": langid.op4_language_id,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
