@@ -374,10 +374,10 @@ def _mistakes(shared):
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, windows, marks = [], [], []
-        for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = t or ""
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        tagged = shared.value.tag([classes_of(np.frombuffer(t.encode(), np.uint8)) for t in texts])
+        for h, t, found in zip(b.column(0).to_pylist(), texts, tagged, strict=True):
             base, _ = base_spans(t)
-            found = shared.value.tag([classes_of(np.frombuffer(t.encode(), np.uint8))])[0]
             for _, s, e, _score in [x for x in found if all(x[2] <= p or q <= x[1] for _, p, q in base)][:6]:
                 lo = max(0, (s + e) // 2 - 24 - (h ^ s) % 48)
                 own = [(k, p - lo, q - lo) for k, p, q in base if lo <= p and q <= lo + 96]
@@ -428,6 +428,10 @@ def find_personal_data(docs: DataFrame, model: Tagger | None, text_col: str = "t
     return rows.mapInArrow(run, out)
 
 
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op9_personal_data(spark, sf_dir: str) -> DataFrame:
     """Personal data in every document; counts and the hash are of base spans, spans are all."""
     docs = table(spark, sf_dir, "documents")
@@ -435,6 +439,6 @@ def op9_personal_data(spark, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter(RESULT, lambda s: s["base"])
     return found.select(
-        "doc_id", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *[_count(base, k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(RESULT).alias("spans"),
     )
