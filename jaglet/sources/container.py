@@ -43,13 +43,10 @@ class FileBytes:
 
     def __init__(self, path: str):
         self.path = path
-        if "://" in path and not path.startswith("file:"):
-            from pyarrow import fs
+        from jaglet.sources.paths import store_of
 
-            store, inner = fs.FileSystem.from_uri(path)
-            self._file = store.open_input_file(inner)
-        else:
-            self._file = open(path.removeprefix("file://").removeprefix("file:"), "rb")  # noqa: SIM115
+        store, inner = store_of(path)
+        self._file = store.open_input_file(inner)
         self._file.seek(0, 2)
         self.size = self._file.tell()
 

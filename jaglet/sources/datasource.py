@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from jaglet.schema import Bank, Dictionary
 from jaglet.sources import container as C
-from jaglet.sources.paths import SUFFIX, resolve
+from jaglet.sources.paths import SUFFIX, resolve, store_of
 from jaglet.tags import TagRegistry
 
 FORMAT = "eventrec"
@@ -232,7 +231,7 @@ class ArrowWriter(DataSourceArrowWriter):
     """One container per partition. Names are final only after all parts are written; an abort removes them."""
 
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
-        self.folder, self.overwrite = options["path"].removeprefix("file://").removeprefix("file:"), overwrite
+        self.folder, self.overwrite = options["path"].rstrip("/"), overwrite
         fields = [f for f in schema.fields if f.name not in FIXED]
         given = Dictionary.parse(options["dictionary"]) if options.get("dictionary") else None
         self.banks = [given[f.name] if given and f.name in given else Bank.from_spark(f, 20_000 + k // 200, k % 200 + 1) for k, f in enumerate(fields)]
@@ -243,15 +242,22 @@ class ArrowWriter(DataSourceArrowWriter):
         self.level = int(options["zstd_level"]) if options.get("zstd_level") else None
         self.split = options.get("byte_split", "false") == "true"
         self.job = uuid.uuid4().hex
-        if not overwrite and os.path.isdir(self.folder) and resolve(self.folder):
+        if not overwrite and self._there():
             raise FileExistsError(self.folder)
 
+    def _there(self) -> list[str]:
+        try:
+            return resolve(self.folder)
+        except FileNotFoundError:
+            return []
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        os.makedirs(self.folder, exist_ok=True)
-        path = f"{self.folder}/.{self.job}-{task:05d}-{uuid.uuid4().hex}"
+        store, folder = store_of(self.folder)
+        store.create_dir(folder, recursive=True)
+        path = f"{folder}/.{self.job}-{task:05d}-{uuid.uuid4().hex}"
         out = io.BytesIO()
         w = C.Writer(out, Dictionary.parse(self.all), TagRegistry.parse(self.registry), json.loads(self.config), self.compression, *self.most, self.level, self.split)
         for batch in iterator:
@@ -259,7 +265,7 @@ class ArrowWriter(DataSourceArrowWriter):
         if not w.events and not w._held and task:
             return Written("", 0, 0, 0)
         spans = w.finish()
-        with open(path, "wb") as f:
+        with store.open_output_stream(path) as f:
             f.write(out.getvalue())
         return Written(path, w.events, len(spans), out.tell())
 
@@ -295,16 +301,17 @@ class ArrowWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         parts = [m for m in messages if m and m.path]
-        if self.overwrite:
-            for old in resolve(self.folder) if os.path.isdir(self.folder) else []:
-                os.remove(old)
+        store, folder = store_of(self.folder)
+        for old in self._there() if self.overwrite else []:
+            store.delete_file(store_of(old)[1])
         for k, m in enumerate(parts):
-            os.rename(m.path, f"{self.folder}/part-{k:05d}{SUFFIX}")
+            store.move(m.path, f"{folder}/part-{k:05d}{SUFFIX}")
 
     def abort(self, messages: list[Written | None]) -> None:
+        store, _ = store_of(self.folder)
         for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and m.path and store.get_file_info(m.path).is_file:
+                store.delete_file(m.path)
 
 
 class EventRecords(DataSource):
