@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jaglet.operators import batches, jagged, link, occupancy, sinks
-from jaglet.operators.filters import FilterSpec, in_ranges
+from jaglet.operators.filters import FilterSpec, in_ranges, merge_ranges
 from jaglet.schema import Bank, Dictionary, is_glob, match_names
 from jaglet.sources import datasource
 from jaglet.sources.paths import resolve
@@ -168,12 +168,7 @@ class EventChain:
 
     def _events(self, selection: dict[str, list[str]] | None = None, start: int | None = None, stop: int | None = None, ranges=None) -> DataFrame:
         """The surviving events of a range; containers decode only the selected banks and those the filter needs."""
-        df = self._df
-        if self._options and selection is not None:
-            wanted = {b: cols for b, cols in selection.items()}
-            for n in self.spec.require:
-                wanted.setdefault(n, [self.dictionary[n].columns[0].name])
-            df = self.spark.read.format(datasource.FORMAT).options(**self._options, banks=json.dumps(wanted)).load()
+        df = self._df if not self._options else self._load(selection, start, stop, ranges)
         if ranges is not None:
             df = df.where(in_ranges(F.col("event_id"), ranges))
         if start is not None:
@@ -183,6 +178,31 @@ class EventChain:
         condition = self.spec.condition()
         return df if condition is None else df.where(condition)
 
+    def _load(self, selection, start, stop, ranges) -> DataFrame:
+        """Containers anew, with what their reader can leave out by itself."""
+        options = dict(self._options)
+        if selection is not None:
+            wanted = dict(selection)
+            for n in self.spec.require:
+                wanted.setdefault(n, [self.dictionary[n].columns[0].name])
+            options["banks"] = json.dumps(wanted)
+        if ranges is not None:
+            merged = merge_ranges(ranges)
+            start, stop = (merged[0][0], merged[-1][1]) if merged else (0, 0)
+        if start is not None:
+            options["start"] = str(max(0, start))
+        if stop is not None:
+            options["stop"] = str(stop)
+        if self.spec.require:
+            options["require"] = json.dumps(list(self.spec.require))
+        if self.spec.record_tags is not None:
+            options["record_tags"] = json.dumps(sorted(self.spec.record_tags))
+        if self.spec.event_tags is not None:
+            options["event_tags"] = json.dumps(sorted(self.spec.event_tags))
+        if self.spec.any_mask:
+            options["event_tag_any"] = str(int(self.spec.any_mask))
+        return self.spark.read.format(datasource.FORMAT).options(**options).load()
+
     # ---- selecting
 
     def select(self, banks: str | Iterable[str] | None = None, columns: Iterable[str] | None = None, filter_name: str | Iterable[str] | None = None) -> Selection:
@@ -307,7 +327,7 @@ class EventChain:
 
     def event(self, index: int) -> dict | None:
         """One event by its index before any filter; None beyond the end."""
-        row = self._df.where(F.col("event_id") == index).first()
+        row = self._with(spec=FilterSpec())._events(None, index, index + 1).first()
         return row.asDict(recursive=True) if row else None
 
     def events(self) -> Iterator[dict]:

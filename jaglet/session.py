@@ -6,13 +6,12 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-#: Settings that the engine relies on. Filter pushdown into the binary source is off in Spark by default.
+#: Settings that the engine relies on.
 CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
@@ -28,9 +27,7 @@ def session(app: str = "jaglet", master: str | None = None, **conf: str) -> Spar
 
 def prepare(spark: SparkSession) -> SparkSession:
     """The engine's runtime settings on a session that exists."""
-    for k, v in CONF.items():
-        if k.startswith("spark.sql.python") or k.endswith("timeZone"):
-            spark.conf.set(k, v)
+    spark.conf.set("spark.sql.session.timeZone", CONF["spark.sql.session.timeZone"])
     return spark
 
 

@@ -459,7 +459,8 @@ def open_file(source, salvage: bool = False) -> FileInfo:
     if salvage:
         info.spans, info.complete = _resync(source, first, info), False
         return info
-    info.spans = _trailer(source, head) or _scan(source, first)
+    spans = _trailer(source, head)
+    info.spans = _scan(source, first, head["trailer_position"]) if spans is None else spans
     return info
 
 
@@ -517,10 +518,10 @@ def _trailer(source, head: dict) -> list[RecordSpan] | None:
     return spans if all(s.position >= HEADER and s.events >= 0 and s.position + HEADER <= at for s in spans) else None
 
 
-def _scan(source, at: int) -> list[RecordSpan]:
-    """The record map from the records themselves, one after the other."""
-    out = []
-    while at + HEADER <= source.size:
+def _scan(source, at: int, trailer: int) -> list[RecordSpan]:
+    """The record map from the records themselves, one after the other, up to the trailer if there is one."""
+    out, end = [], trailer if at <= trailer <= source.size else source.size
+    while at + HEADER <= end:
         header = RecordHeader.parse(source.read(at, HEADER), source.path, at)
         if at + header.length > source.size:
             raise CorruptFileError("the file ends within a record", source.path, at)

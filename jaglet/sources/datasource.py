@@ -1,8 +1,10 @@
 """Event-record containers as a Spark data source: format "eventrec", for reading and for writing.
 
 A partition is a run of records of one file of about `partition_bytes`. Which banks and columns are decoded is an
-option, since Python data sources aren't told the projection; record tags, event ids and event tags are pushed
-down, so that records that no event of is wanted aren't read. event_id is the global index before any filter.
+option, since Python data sources aren't told the projection. So are ranges and tags: records that no event of is
+wanted are left out when partitions are planned, and events are dropped before their banks are decoded. (Spark keeps
+filters that it pushed into a Python source for later queries of the same DataFrame, so none are taken that way.)
+event_id is the global index before any filter.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from jaglet.schema import Bank, Dictionary
 from jaglet.sources import container as C
@@ -99,32 +101,11 @@ class Reader(DataSourceReader):
         self.banks, self.composite = banks, composite
         self.size = int(options.get("partition_bytes", PARTITION_BYTES))
         self.infos = infos
-        self.tags: set[int] | None = None
-        self.low, self.high = 0, None
-        self.require = [x for x in options.get("require", "").split(",") if x]
+        some = lambda name: {int(x) for x in json.loads(options[name])} if options.get(name) else None
+        self.tags, self.exact = some("record_tags"), some("event_tags")
+        self.low, self.high = int(options.get("start", 0)), int(options["stop"]) if options.get("stop") else None
+        self.require = json.loads(options.get("require", "[]"))
         self.mask = int(options.get("event_tag_any", 0))
-        self.exact: set[int] | None = None
-
-    def pushFilters(self, filters):
-        """Record tags and event ids prune records, event tags drop events; Spark checks all of them again."""
-        for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            value = getattr(f, "value", None)
-            if name in ("record_tag", "event_tag") and isinstance(f, (EqualTo, In)):
-                some = {int(v) for v in (value if isinstance(f, In) else [value]) if v is not None}
-                kept = self.tags if name == "record_tag" else self.exact
-                some = some if kept is None else kept & some
-                if name == "record_tag":
-                    self.tags = some
-                else:
-                    self.exact = some
-            elif name == "event_id" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and value is not None:
-                if not isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.low = max(self.low, int(value) + isinstance(f, GreaterThan))
-                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    top = int(value) + (not isinstance(f, LessThan))
-                    self.high = top if self.high is None else min(self.high, top)
-            yield f
 
     def partitions(self) -> list[Records]:
         out, event = [], 0
@@ -315,7 +296,8 @@ class ArrowWriter(DataSourceArrowWriter):
 
 
 class EventRecords(DataSource):
-    """Options: path (or paths, a JSON list), banks, composite, require, event_tag_any, salvage, partition_bytes."""
+    """Options: path (or paths, a JSON list), banks, composite, salvage, partition_bytes; to select events start, stop,
+    event_tag_any, and JSON lists of require, record_tags and event_tags."""
 
     @classmethod
     def name(cls) -> str:
@@ -343,5 +325,4 @@ class EventRecords(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(EventRecords)
