@@ -110,12 +110,12 @@ class Graph:
     def layer(self, q: np.ndarray, start: np.ndarray, beam: int, k: int, spread: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the nearest nodes on level k, best first; -1 where there are fewer."""
         links, rows = self.neighbors[k], len(q)
-        cols = np.arange(rows)[:, None]
         seen = np.zeros((rows, len(self.x)), bool)
         ids = np.full((rows, max(beam, start.shape[1])), -1, np.int64)
         ids[:, : start.shape[1]] = start
         sims = np.where(ids >= 0, np.einsum("bcd,bd->bc", self.x[np.maximum(ids, 0)], q), -3).astype(np.float32)
-        seen[cols, np.maximum(ids, 0)] |= ids >= 0
+        r, c = np.nonzero(ids >= 0)
+        seen[r, ids[r, c]] = True
         fresh = ids >= 0
         active = np.arange(rows)
         while len(active):

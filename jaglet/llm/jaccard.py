@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = materialize(connected_components(links.unionByName(more)), "components")
     roots = classes.join(component, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("root"))
     rows = signed.select("doc_id", "n", "fp1", "fp2").join(roots, ["fp1", "fp2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, n
     left = first[1:][text] - np.arange(len(h))  # words from here to the end of the text
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(h), U64)
-        for k in range(size):
+        for k in range(min(size, len(h))):
             nxt = np.zeros(len(h), U64)
             nxt[: len(h) - k] = h[k:] if k else h
             nxt[left <= k] = 0
