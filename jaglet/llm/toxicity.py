@@ -5,11 +5,12 @@ by its subsequences of three characters, each weighted by DECAY to the power of
 characters: inserted characters weaken a match and don't break it. The kernel of two strings is the scalar
 product of these weights over the strings' norms of occurrences. Words get Nystroem features from landmark words,
 and a linear SVM is trained on them from texts labelled as wholes: the most telling words of each toxic text are
-its positive cases, chosen anew as the machine gets better, and all words of clean texts are negative.
+its positive cases, chosen anew as the machine gets better; words of clean texts are negative, but for those that
+toxic texts have much more often.
 
 The machine's decision is linear in the landmarks' subsequences, so it is folded into one weight per triple of
 characters; scoring looks these up for every distinct word of a text. A text's score is a logistic function of the
-decisions of its two worst words.
+decisions of its worst words and of its number of words, since long clean texts have more chance likenesses.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ from jaglet.llm.common import crc_mod, over_batches, session_of, slices, table,
 DECAY, SPAN = 0.7, 5
 LANDMARKS = 128
 #: Bound of the labelled sample: about so many toxic and clean texts, by a hash of their ids, and words of each.
-TOXIC, CLEAN, WORDS = 700, 1100, 4000
+TOXIC, CLEAN, WORDS = 1500, 3000, 4000
 CHUNK = 1 << 21
 CACHE = 1 << 18
-LOWEST = -2.0
+#: Decisions are cut off below this; the WORST highest of a text count, beside its length.
+LOWEST, WORST = -0.8, 4
+#: Weight of toxic texts with characters put into their worst words.
+HIDDEN = 0.1
 RESULT = "toxicity"
 
 _classes = np.zeros(256, np.int64)  # letters, digits as one, accents by their last byte, 1 and 2 mark the ends
@@ -121,7 +125,7 @@ def _weights(landmarks: list[bytes], alpha: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """weights by triple and bias: a word's decision; logit: constant, and weights of the two worst words."""
+    """weights by triple and bias: a word's decision; logit: constant, and weights of what features() gives."""
 
     def __init__(self, weights: np.ndarray, bias: float, logit: np.ndarray):
         self.weights, self.bias, self.logit = weights.astype(np.float32), bias, logit
@@ -130,23 +134,23 @@ class Scorer:
     def decisions(self, data, starts, ends) -> np.ndarray:
         return np.maximum(products(*spell(data, starts, ends), self.weights) + self.bias, LOWEST)
 
-    def worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(texts, 2) decisions of the two worst words of each text; LOWEST where there are fewer."""
+    def worst(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, WORST) decisions of the worst words, highest first, LOWEST where there are fewer; numbers of words."""
         h, s, e, first = wh.words(data, offsets, wh.BLANKS)
-        n = len(offsets) - 1
-        text = np.repeat(np.arange(n), np.diff(first))
+        n = np.diff(first)
+        text = np.repeat(np.arange(len(n)), n)
         rs, re_, rt = spelt_out(s, e, text)
         values = np.concatenate((self._cached(data, h, s, e), self.decisions(data, rs, re_) if len(rs) else np.zeros(0)))
         text = np.concatenate((text, rt))
-        out = np.full((n, 2), LOWEST)
-        for k in range(2):
-            np.maximum.at(out[:, k], text, values)
-            if not k and len(text):
-                order = np.lexsort((np.arange(len(text)), -values, text))
-                lead = np.concatenate(([True], text[order][1:] != text[order][:-1]))
-                values = values.copy()
-                values[order[lead]] = LOWEST
-        return out
+        some = np.flatnonzero(values > LOWEST)
+        values, text = values[some], text[some]
+        order = np.lexsort((-values, text))
+        values, text = values[order], text[order]
+        rank = np.arange(len(text)) - np.searchsorted(text, text)
+        out = np.full((len(n), WORST), LOWEST)
+        lead = rank < WORST
+        out[text[lead], rank[lead]] = values[lead]
+        return out, n
 
     def _cached(self, data, h, s, e) -> np.ndarray:
         if not len(h):
@@ -170,13 +174,17 @@ class Scorer:
             self._seen = (np.concatenate((known, own[new]))[order], np.concatenate((values, out[new]))[order])
         return out[back]
 
-    def score(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit[0] + worst @ self.logit[1:], -40, 40)))
+    def score(self, worst: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logit[0] + features(worst, n) @ self.logit[1:], -40, 40)))
 
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias, "logit": self.logit, "_seen": (np.zeros(0, np.uint64), np.zeros(0))}
 
 
+def features(worst: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.column_stack((worst, np.log1p(n)))
+
+
 def spelt_out(s: np.ndarray, e: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, texts) of runs of three single characters or more."""
     single = e - s == 1
@@ -201,21 +209,21 @@ def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.02)
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     x = np.hstack((np.ones((len(x), 1)), x))
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (y - p) - ridge * w)
+        hess = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(bags: list[list[bytes]], toxic: np.ndarray, rounds: int = 4, seed: int = 17) -> Scorer | None:
-    """A scorer from the distinct words of labelled texts; None unless both labels occur."""
+def train(bags: list[list[bytes]], toxic: np.ndarray, lengths: np.ndarray | None = None, rounds: int = 4, seed: int = 17) -> Scorer | None:
+    """A scorer from the words of labelled texts, repeated ones as often as they occur; None unless both labels occur."""
     if not toxic.any() or toxic.all():
         return None
     rng = np.random.default_rng(seed)
@@ -223,55 +231,72 @@ def train(bags: list[list[bytes]], toxic: np.ndarray, rounds: int = 4, seed: int
     number = {w: i for i, w in enumerate(vocabulary)}
     if not vocabulary:
         return None
-    member = [np.array([number[w] for w in b], np.int64) for b in bags]
+    repeated = [np.array([number[w] for w in b], np.int64) for b in bags]
+    member = [np.unique(b) for b in repeated]
     c, n = _spelled(vocabulary)
-    # how many toxic and clean texts have each triple without gaps
+    # how many toxic and clean texts have each word, and each triple without gaps
     keys, word, _ = next(iter(triples(c, n)))
     order = np.argsort(word, kind="stable")
     keys, cuts = keys[order], np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(n)))))
-    df = np.zeros((2, 1 << 21))
+    df, wf, size = np.zeros((2, 1 << 21)), np.zeros((2, len(vocabulary))), np.array([(~toxic).sum(), toxic.sum()])
     for b, t in zip(member, toxic, strict=True):
         if len(b):
             df[int(t)][np.unique(np.concatenate([keys[cuts[i] : cuts[i + 1]] for i in b]))] += 1
-    odds = np.log((df[1] + 0.5) / (toxic.sum() + 1)) - np.log((df[0] + 0.5) / ((~toxic).sum() + 1))
-    clean = np.zeros(len(vocabulary), bool)
-    for b, t in zip(member, toxic, strict=True):
-        if not t:
-            clean[b] = True
+            wf[int(t)][b] += 1
+    odds = np.log((df[1] + 0.5) / (size[1] + 1)) - np.log((df[0] + 0.5) / (size[0] + 1))
+    telling = wf[1] / size[1] > 4 * (wf[0] + (wf[0] > 0)) / size[0]  # far more often in toxic texts
     f = products(c, n, odds) / np.sqrt(norms(n))
-    f[clean] = f.min()
-    negative = np.flatnonzero(clean)
+    f[~telling] = f.min()
+    negative = np.flatnonzero((wf[0] > 0) & ~telling)
     weights, bias = None, 0.0
     for _ in range(rounds):
         chosen = set()
         for b, t in zip(member, toxic, strict=True):
             if t and len(b):
                 best = b[np.argsort(-f[b], kind="stable")]
-                chosen.update(i for i in best[: 1 if weights is None else 6] if i == best[0] or f[i] > 0)
-        pos = np.array(sorted(i for i in chosen if not clean[i]), np.int64)
+                chosen.update(i for i in best[: 2 if weights is None else 6] if i == best[0] or weights is None or f[i] > 0)
+        pos = np.array(sorted(i for i in chosen if telling[i]), np.int64)
         if not len(pos) or not len(negative):
             return None
         if len(pos) > 1500:
             pos = rng.permutation(pos)[:1500]
-        hard = negative[np.argsort(-f[negative], kind="stable")[:800]] if weights is not None else negative[:0]
-        neg = np.unique(np.concatenate((hard, rng.permutation(negative)[:2500])))
+        hard = negative[np.argsort(-f[negative], kind="stable")[:600]] if weights is not None else negative[:0]
+        neg = np.unique(np.concatenate((hard, rng.permutation(negative)[:3000])))
         marks = [vocabulary[i] for i in np.concatenate((_spread(vocabulary, pos, LANDMARKS * 3 // 4, rng), rng.permutation(neg)[: LANDMARKS // 4]))]
-        cases = [vocabulary[i] for i in np.concatenate((pos, neg))]
+        cases = [vocabulary[i] for i in pos] + [gapped(vocabulary[i], rng) for i in pos] + [vocabulary[i] for i in neg]
         val, vec = np.linalg.eigh(kernel(marks, marks))
         root = vec[:, val > 1e-6] / np.sqrt(val[val > 1e-6])
-        y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
-        w = machine(kernel(cases, marks) @ root, y, np.where(y > 0, 1.0, max(1.0, 0.5 * len(pos) / len(neg) * 2)))
+        y = np.concatenate((np.ones(2 * len(pos)), -np.ones(len(neg))))
+        w = machine(kernel(cases, marks) @ root, y, np.where(y > 0, 0.3, max(1.0, len(pos) / len(neg))))
         weights, bias = _weights(marks, root @ w[:-1]), float(w[-1])
-        f = np.maximum(products(c, n, weights) + bias, LOWEST)
-    scorer = Scorer(weights, bias, np.zeros(3))
-    two = np.full((len(bags), 2), LOWEST)
-    for k, b in enumerate(member):
-        top = np.sort(f[b])[::-1][:2]
-        two[k, : len(top)] = top
-    scorer.logit = logistic(two, toxic.astype(float))
+        f = products(c, n, weights) + bias
+    scorer = Scorer(weights, bias, np.zeros(2 + WORST))
+    worst = np.full((len(bags), WORST), LOWEST)
+    for k, b in enumerate(repeated):
+        top = np.sort(f[b])[::-1][:WORST]
+        worst[k, : len(top)] = np.maximum(top, LOWEST)
+    lengths = np.array([len(b) for b in bags]) if lengths is None else lengths
+    # toxic texts count once more with a character put into their worst words
+    hidden = worst[toxic].copy()
+    for k, b in enumerate([b for b, t in zip(repeated, toxic, strict=True) if t]):
+        own = [gapped(vocabulary[i], rng) for i in b[np.argsort(-f[b], kind="stable")[:WORST]]]
+        if own:
+            hidden[k, : len(own)] = np.maximum(np.sort(products(*_spelled(own), weights) + bias)[::-1], LOWEST)
+    x = np.vstack((features(worst, lengths), features(hidden, lengths[toxic])))
+    y = np.concatenate((toxic, np.ones(len(hidden)))).astype(float)
+    wt = np.concatenate((np.ones(len(toxic)), np.full(len(hidden), HIDDEN)))
+    scorer.logit = logistic(x, y, weight=wt)
     return scorer
 
 
+def gapped(word: bytes, rng: np.random.Generator) -> bytes:
+    """The word with a character put in, as insults are hidden."""
+    at = 1 + int(rng.integers(max(1, len(word) - 1)))
+    while at < len(word) and word[at] & 0xC0 == 0x80:
+        at += 1
+    return word[:at] + b"-.*_x"[int(rng.integers(5)) :][:1] + word[at:]
+
+
 def _spread(vocabulary: list[bytes], pool: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     """Up to size words of the pool, each the least like those before."""
     pool = rng.permutation(pool)[:600]
@@ -299,17 +324,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def distinct(b: pa.RecordBatch) -> pa.RecordBatch:
         data, at = text_view(b.column(2))
-        out = []
+        out, lengths = [], []
         for k in range(b.num_rows):
-            h, s, e, first = wh.words(data, at[k : k + 2], wh.BLANKS)
-            _, i = np.unique(h, return_index=True)
-            s, e = s[i[:WORDS]], e[i[:WORDS]]  # by hash, so of all parts of the text
-            out.append([data[x:y].tobytes().lower() for x, y in zip(s, e, strict=True) if y - x <= 200])
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["id", "toxic", "words"])
-
-    found = over_batches(rows, distinct, T.StructType([T.StructField("id", rows.schema["__id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("words", T.ArrayType(T.BinaryType()))])).toArrow().to_pylist()
+            h, s, e, _ = wh.words(data, at[k : k + 2], wh.BLANKS)
+            _, i, n = np.unique(h, return_index=True, return_counts=True)
+            lengths.append(len(h))
+            i = np.repeat(i[:WORDS], np.minimum(n[:WORDS], WORST))  # by hash, so of all parts of the text
+            out.append([data[x:y].tobytes().lower() for x, y in zip(s[i], e[i], strict=True) if y - x <= 200])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(lengths, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["id", "toxic", "n", "words"])
+
+    found = over_batches(rows, distinct, T.StructType([T.StructField("id", rows.schema["__id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType()))])).toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], r["toxic"], r["words"]))
-    return train([r["words"] for r in found], np.array([r["toxic"] > 0 for r in found], bool))
+    return train([r["words"] for r in found], np.array([r["toxic"] > 0 for r in found], bool), np.array([r["n"] for r in found]))
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", keep: Iterable[str] | None = None) -> DataFrame:
@@ -329,7 +355,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text
         if m is not None:
             data, at = text_view(b.column("__text"))
             for i, j in slices(at, CHUNK):
-                scores[i:j] = m.score(m.worst(data, at[i : j + 1]))
+                scores[i:j] = m.score(*m.worst(data, at[i : j + 1]))
         return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores)], [*keep, RESULT])
 
     return over_batches(rows, kernel_, T.StructType([*[docs.schema[c] for c in keep], T.StructField(RESULT, T.DoubleType())]))
