@@ -21,13 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _particle() -> dict[str, Column]:
-    pid = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("l_partkey") % 5 + 1).cast("int"))
-    return {"pid": pid, "px": F.col("l_quantity"), "py": F.round(F.col("l_discount") * 100), "pz": F.round(F.col("l_tax") * 100), "status": ((F.col("l_partkey") % 5000) - 2000).cast("int")}
+def _particle(get) -> dict[str, Column]:
+    pid = F.element_at(F.array(*[F.lit(c) for c in CODES]), (get("l_partkey") % 5 + 1).cast("int"))
+    return {"pid": pid, "px": get("l_quantity"), "py": F.round(get("l_discount") * 100), "pz": F.round(get("l_tax") * 100), "status": ((get("l_partkey") % 5000) - 2000).cast("int")}
 
 
-def _calo() -> dict[str, Column]:
-    return {"pindex": (F.col("l_linenumber") - 1).cast("int"), "layer": (F.col("l_suppkey") % 3).cast("int"), "energy": F.col("l_extendedprice")}
+def _calo(get) -> dict[str, Column]:
+    return {"pindex": (get("l_linenumber") - 1).cast("int"), "layer": (get("l_suppkey") % 3).cast("int"), "energy": get("l_extendedprice")}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,21 +40,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def banks(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """event_id and the banks, rows in the total order of their line items; one shuffle of the needed columns."""
-    fields = {n: (_particle() if n == "Particle" else _calo()) for n in names}
-    every = {f"{n}_{k}": c.alias(f"{n}_{k}") for n, cols in fields.items() for k, c in cols.items()}
-    packed = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*ORDER, *every.values()).alias("s")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    out = [_bank("s", n, list(cols)).alias(n) for n, cols in fields.items()]
-    return packed.select(F.col("l_orderkey").alias("event_id"), *out)
+    """event_id and the banks, rows in the total order of their line items; one shuffle of the columns of that order."""
+    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ORDER))).alias("s"))
+    return packed.select(F.col("l_orderkey").alias("event_id"), *[_bank("s", _particle if n == "Particle" else _calo).alias(n) for n in names])
 
 
-def _bank(packed: str, name: str, cols: list[str]) -> Column:
-    return F.transform(packed, lambda r: F.struct(*[r[f"{name}_{k}"].alias(k) for k in cols]))
+def _bank(packed: str, fields) -> Column:
+    return F.transform(packed, lambda r: F.struct(*[c.alias(k) for k, c in fields(lambda n: r[n]).items()]))
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat twin of both banks without row numbers, for reductions that need no order: no shuffle."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), *[c.alias(k) for k, c in {**_particle(), **_calo()}.items()])
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), *[c.alias(k) for k, c in {**_particle(F.col), **_calo(F.col)}.items()])
 
 
 def chain(spark: SparkSession, sf_dir: str, *names: str) -> EventChain:
