@@ -21,8 +21,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of three-line windows that an earlier place has; n_chars follows the text."""
-    out = linededup.dedup_lines(docs).select(*_columns(docs))
+    """Documents without lines of three-line windows that an earlier place has; n_chars follows the text.
+
+    A document of which nothing but white space is left after lines were removed goes; all others stay.
+    """
+    found = linededup.dedup_lines(docs)
+    spent = (F.size("removed_lines") > 0) & ~F.col("text").rlike(r"\S")
+    out = found.where(~F.coalesce(spent, F.lit(False))).select(*_columns(docs))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
