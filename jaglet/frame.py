@@ -335,6 +335,30 @@ class EventChain:
         for row in self._events().orderBy("event_id").toLocalIterator():
             yield row.asDict(recursive=True)
 
+    def take(self, n: int) -> list[dict]:
+        """The first n surviving events."""
+        return [r.asDict(recursive=True) for r in self._events().orderBy("event_id").limit(n).collect()]
+
+    def typed_column(self, bank: str, column: str, kind: str) -> DataFrame:
+        """One column of all rows (event_id, row_idx, column), strict: another type letter than `kind` is an error."""
+        own = self.dictionary[bank].column(column)
+        if own.letter != kind:
+            raise TypeError(f"{bank}/{column} is {own.type_text}, not {kind}")
+        return self.flat(bank, [column])
+
+    def record_spans(self) -> DataFrame:
+        """The record table: file_index, file_path, first event, events, bytes."""
+        rows = [(r.file_index, r.file_path, r.first, r.events, r.bytes) for r in self.records()]
+        return self.spark.createDataFrame(rows, "file_index int, file_path string, first long, events long, bytes long")
+
+    def scan_rate(self, banks=None) -> float:
+        """Thousands of events a second that a full read of the banks gives."""
+        import time
+
+        start = time.perf_counter()
+        self.arrays(banks).write.format("noop").mode("overwrite").save()
+        return self.num_entries / 1000 / max(time.perf_counter() - start, 1e-9)
+
     def for_ranges(self, ranges: Iterable[tuple[int, int]], banks=None, columns=None) -> DataFrame:
         """arrays() over a union of ranges; each event once."""
         s = self.select(banks, columns)

@@ -60,6 +60,29 @@ def first(array: Column, index: int | Column = 0) -> Column:
     return F.get(array, F.lit(index) if isinstance(index, int) else index)
 
 
+def value(array: Column, index: int | Column, name: str, kind: str | None = None) -> Column:
+    """One cell of a bank, NULL where the row is missing, cast to `kind` if given."""
+    cell = first(array, index)[name]
+    return cell if kind is None else cell.cast(kind)
+
+
+def value_or(array: Column, index: int | Column, name: str, default) -> Column:
+    """One cell of a bank, or the default where the row is missing."""
+    return F.coalesce(value(array, index, name), F.lit(default))
+
+
+def typed_rows(array: Column, wanted: dict[str, str], have: Iterable[str]) -> Column:
+    """Rows as structs of the wanted names and types; columns that aren't there, and NULLs, are zeros."""
+    have = set(have)
+    zero = lambda t: F.lit(0).cast(t)
+    return F.transform(array, lambda r: F.struct(*[(F.coalesce(r[n].cast(t), zero(t)) if n in have else zero(t)).alias(n) for n, t in wanted.items()]))
+
+
+def inner_total(array: Column, name: str) -> Column:
+    """Of each row the sum along a fixed-length array column."""
+    return F.transform(array, lambda r: F.aggregate(F.transform(r[name], lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+
+
 def indexed(array: Column) -> Column:
     """Structs of (row, i), i from 0."""
     return F.transform(array, lambda r, i: F.struct(r.alias("row"), i.cast("int").alias("i")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from jaglet.errors import CorruptFileError
 from jaglet.frame import EventChain
-from jaglet.operators import sinks
+from jaglet.operators import jagged, sinks
 from jaglet.schema import Bank
 from jaglet.sources.paths import resolve
 from tests.fixtures import PIDS, sample
@@ -44,6 +44,17 @@ def test_reads(any_chain):
     assert c.event(3)["event_tag"] == 1 and c.event(99) is None and len(list(c.events())) == 8
 
 
+def test_small_reads(any_chain):
+    c = any_chain
+    assert [e["event_id"] for e in c.filtered(require=P).take(2)] == [1, 2] and c.scan_rate(P) > 0
+    assert c.typed_column(P, "pid", "I").count() == 12 and [r["events"] for r in c.record_spans().orderBy("first").collect()] == [3, 3, 2]
+    with pytest.raises(TypeError):
+        c.typed_column(P, "pid", "F")
+    a = c.arrays(P).orderBy("event_id")
+    got = a.select(jagged.value(F.col(P), 1, "pid", "double").alias("v"), jagged.value_or(F.col(P), 5, "pid", -1).alias("d"), jagged.typed_rows(F.col(P), {"pid": "long", "none": "double"}, ["pid", "px"]).alias("t"), jagged.inner_total(F.col(P), "cov").alias("s")).collect()
+    assert [r["v"] for r in got[:4]] == [None, None, 201.0, 301.0] and got[3]["d"] == -1 and got[2]["t"] == [(200, 0.0), (201, 0.0)] and got[1]["s"] == [300.75]
+
+
 def test_filters(any_chain):
     c = any_chain
     ids = lambda x: [r[0] for r in x.event_tags().orderBy("event_id").collect()]
