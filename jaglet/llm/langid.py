@@ -24,6 +24,8 @@ BUCKETS = 4096
 #: Bound of the labelled sample: about so many documents of each language, chosen by a hash of their ids.
 SAMPLE = 300
 CENTROIDS = 3
+#: A column with more labels isn't one of languages; fit refuses it.
+MOST_LANGUAGES = 10_000
 #: A text is rejected below this share of the cosine that its language's texts of its length come to.
 REJECT = 0.25
 CHUNK = 1 << 19
@@ -139,9 +141,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not df[-1]:
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
-    sizes = rows.groupBy("lang").count().withColumn("share", F.lit(float(sample)) / F.col("count")).select("lang", "share")
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # the share of a row's hash in its range picks the rows of a language evenly
-    picked = rows.join(F.broadcast(sizes.limit(10_000)), "lang").where("pmod(h, 1000003) / 1000003.0 < share").select("lang", "h", "text")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(sample) / r["count"])])
+    picked = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.try_element_at(share, F.col("lang"))).select("lang", "h", "text")
     shared = spark.sparkContext.broadcast(idf)
 
     def vectorise(b: pa.RecordBatch) -> pa.RecordBatch:
