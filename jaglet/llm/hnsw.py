@@ -49,8 +49,28 @@ class Graph:
             new = np.arange(done, min(n, done + min(BATCH, max(1, done // 2))))
             g._insert(new, level)
             done = int(new[-1]) + 1
+        g._link_orphans()
         return g
 
+    def _link_orphans(self) -> None:
+        """On the lowest level, a way to every node from its nearest neighbour where no neighbour about as near kept one."""
+        links, n = self.neighbors[0], len(self.x)
+        alone = np.ones(n, bool)
+        for i in range(0, n, 1024):
+            own = links[i : i + 1024]
+            back = links[np.maximum(own, 0)] == np.arange(i, i + len(own))[:, None, None]
+            sims = np.einsum("bcd,bd->bc", self.x[np.maximum(own, 0)], self.x[i : i + len(own)])
+            near = (own >= 0) & (sims >= sims[:, :1] - 0.05)
+            alone[i : i + 1024] = ~(back.any(2) & near).any(1)
+        node = np.flatnonzero(alone & (links[:, 0] >= 0))
+        near = links[node, 0]
+        order = np.argsort(near, kind="stable")
+        node, near = node[order], near[order]
+        rank = np.arange(len(near)) - np.searchsorted(near, near)
+        more = np.full((n, int(rank.max(initial=-1)) + 1), -1, np.int32)
+        more[near, rank] = node
+        self.neighbors[0] = np.hstack((links, more))
+
     def _insert(self, new: np.ndarray, level: np.ndarray) -> None:
         q = self.x[new]
         among = q @ q.T
