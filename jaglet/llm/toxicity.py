@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,14 +225,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 def train(bags: list[list[bytes]], toxic: np.ndarray, lengths: np.ndarray | None = None, rounds: int = 4, seed: int = 17) -> Scorer | None:
     """A scorer from the words of labelled texts, repeated ones as often as they occur; None unless both labels occur."""
-    if not toxic.any() or toxic.all():
+    words = pa.array([w for b in bags for w in b], pa.binary())
+    first = np.concatenate(([0], np.cumsum([len(b) for b in bags], dtype=np.int64)))
+    return _train(words, first, toxic, np.diff(first) if lengths is None else lengths, rounds, seed)
+
+
+def _train(words: pa.Array, first: np.ndarray, toxic: np.ndarray, lengths: np.ndarray, rounds: int = 4, seed: int = 17) -> Scorer | None:
+    """train, for texts whose words are words[first[i]:first[i + 1]]."""
+    if not toxic.any() or toxic.all() or not len(words):
         return None
     rng = np.random.default_rng(seed)
-    vocabulary = sorted({w for b in bags for w in b})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    if not vocabulary:
-        return None
-    repeated = [np.array([number[w] for w in b], np.int64) for b in bags]
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    vocabulary = coded.dictionary.take(pa.array(order)).to_pylist()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    numbers = number[coded.indices.to_numpy()]
+    repeated = [numbers[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     member = [np.unique(b) for b in repeated]
     c, n = _spelled(vocabulary)
     # how many toxic and clean texts have each word, and each triple without gaps
@@ -271,11 +281,10 @@ def train(bags: list[list[bytes]], toxic: np.ndarray, lengths: np.ndarray | None
         weights, bias = _weights(marks, root @ w[:-1]), float(w[-1])
         f = products(c, n, weights) + bias
     scorer = Scorer(weights, bias, np.zeros(2 + WORST))
-    worst = np.full((len(bags), WORST), LOWEST)
+    worst = np.full((len(repeated), WORST), LOWEST)
     for k, b in enumerate(repeated):
         top = np.sort(f[b])[::-1][:WORST]
         worst[k, : len(top)] = np.maximum(top, LOWEST)
-    lengths = np.array([len(b) for b in bags]) if lengths is None else lengths
     # toxic texts count once more with a character put into their worst words
     hidden = worst[toxic].copy()
     for k, b in enumerate([b for b, t in zip(repeated, toxic, strict=True) if t]):
@@ -333,9 +342,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out.append([data[x:y].tobytes().lower() for x, y in zip(s[i], e[i], strict=True) if y - x <= 200])
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(lengths, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["id", "toxic", "n", "words"])
 
-    found = over_batches(rows, distinct, T.StructType([T.StructField("id", rows.schema["__id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType()))])).toArrow().to_pylist()
-    found.sort(key=lambda r: (r["id"], r["toxic"], r["words"]))
-    return train([r["words"] for r in found], np.array([r["toxic"] > 0 for r in found], bool), np.array([r["n"] for r in found]))
+    found = over_batches(rows, distinct, T.StructType([T.StructField("id", rows.schema["__id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType()))])).toArrow()
+    found = found.sort_by([("id", "ascending"), ("toxic", "ascending"), ("n", "ascending")]).combine_chunks()
+    if not found.num_rows:
+        return None
+    bags = found.column("words").combine_chunks()
+    first = bags.offsets.to_numpy().astype(np.int64)
+    return _train(bags.flatten(), first - first[0], found.column("toxic").to_numpy() > 0, found.column("n").to_numpy())
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", keep: Iterable[str] | None = None) -> DataFrame:
