@@ -677,6 +677,11 @@ class Writer:
         self._held.append(event)
         self._bytes += size
 
+    @property
+    def size(self) -> int:
+        """Bytes written and held so far."""
+        return self._at + self._bytes
+
     def set_record_tag(self, word_1: int, word_2: int = 0) -> None:
         """The user words of records from here on."""
         if (word_1, word_2) != self.user_words:

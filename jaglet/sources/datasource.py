@@ -29,7 +29,7 @@ from jaglet.tags import TagRegistry
 FORMAT = "eventrec"
 FIXED_FIELDS = [T.StructField("event_id", T.LongType()), T.StructField("file_index", T.IntegerType()), T.StructField("file_path", T.StringType()), T.StructField("record_index", T.IntegerType()), T.StructField("record_tag", T.LongType()), T.StructField("event_tag", T.LongType())]
 FIXED = [f.name for f in FIXED_FIELDS]
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES, FILE_BYTES = 64 << 20, 128 << 20
 
 
 def frame_schema(banks: list[Bank]) -> T.StructType:
@@ -202,14 +202,15 @@ def _composite_array(record: C.Record, bank: Bank, n: int) -> pa.Array:
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    """The files of a task, in event order."""
+
+    paths: list[str]
     events: int
-    records: int
-    bytes: int
 
 
 class ArrowWriter(DataSourceArrowWriter):
-    """One container per partition. Names are final only after all parts are written; an abort removes them."""
+    """Containers of each partition, of about file_bytes, which bounds what a task holds. Names are final only after all
+    parts are written; an abort removes them."""
 
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
         self.folder, self.overwrite = options["path"].rstrip("/"), overwrite
@@ -222,6 +223,7 @@ class ArrowWriter(DataSourceArrowWriter):
         self.most = int(options.get("record_events", 100_000)), int(options["record_bytes"]) if options.get("record_bytes") else None
         self.level = int(options["zstd_level"]) if options.get("zstd_level") else None
         self.split = options.get("byte_split", "false") == "true"
+        self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
         self.job = uuid.uuid4().hex
         if not overwrite and self._there():
             raise FileExistsError(self.folder)
@@ -238,17 +240,28 @@ class ArrowWriter(DataSourceArrowWriter):
         task = TaskContext.get().partitionId()
         store, folder = store_of(self.folder)
         store.create_dir(folder, recursive=True)
-        path = f"{folder}/.{self.job}-{task:05d}-{uuid.uuid4().hex}"
-        out = io.BytesIO()
-        w = C.Writer(out, Dictionary.parse(self.all), TagRegistry.parse(self.registry), json.loads(self.config), self.compression, *self.most, self.level, self.split)
+        done, events, w = [], 0, None
         for batch in iterator:
-            self._add(w, batch)
-        if not w.events and not w._held and task:
-            return Written("", 0, 0, 0)
-        spans = w.finish()
+            for at in range(0, batch.num_rows, 1000):
+                w = w or self._open()
+                self._add(w, batch.slice(at, 1000))
+                if w.size >= self.file_bytes:
+                    events += self._close(w, store, f"{folder}/.{self.job}-{task:05d}-{uuid.uuid4().hex}", done)
+                    w = None
+        if w or not (done or task):  # a table without events still is a file
+            events += self._close(w or self._open(), store, f"{folder}/.{self.job}-{task:05d}-{uuid.uuid4().hex}", done)
+        return Written(done, events)
+
+    def _open(self) -> C.Writer:
+        return C.Writer(io.BytesIO(), Dictionary.parse(self.all), TagRegistry.parse(self.registry), json.loads(self.config), self.compression, *self.most, self.level, self.split)
+
+    @staticmethod
+    def _close(w: C.Writer, store, path: str, done: list[str]) -> int:
+        w.finish()
         with store.open_output_stream(path) as f:
-            f.write(out.getvalue())
-        return Written(path, w.events, len(spans), out.tell())
+            f.write(w.out.getbuffer())
+        done.append(path)
+        return w.events
 
     def _add(self, w: C.Writer, batch: pa.RecordBatch) -> None:
         names = batch.schema.names
@@ -281,18 +294,18 @@ class ArrowWriter(DataSourceArrowWriter):
             w.add(event)
 
     def commit(self, messages: list[Written | None]) -> None:
-        parts = [m for m in messages if m and m.path]
+        parts = [p for m in messages if m for p in m.paths]
         store, folder = store_of(self.folder)
         for old in self._there() if self.overwrite else []:
             store.delete_file(store_of(old)[1])
-        for k, m in enumerate(parts):
-            store.move(m.path, f"{folder}/part-{k:05d}{SUFFIX}")
+        for k, path in enumerate(parts):
+            store.move(path, f"{folder}/part-{k:06d}{SUFFIX}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = store_of(self.folder)
-        for m in messages:
-            if m and m.path and store.get_file_info(m.path).is_file:
-                store.delete_file(m.path)
+        for path in (p for m in messages if m for p in m.paths):
+            if store.get_file_info(path).is_file:
+                store.delete_file(path)
 
 
 class EventRecords(DataSource):

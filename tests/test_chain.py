@@ -195,6 +195,17 @@ def test_source_errors_and_pushdown(spark, chain, tmp_path):
         EventChain.open(spark, path)
 
 
+def test_files_stay_small(spark, chain, tmp_path):
+    path = str(tmp_path / "many")
+    many = spark.range(400).withColumnRenamed("id", "k").join(chain._df).withColumn("event_id", F.col("k") * 8 + F.col("event_id")).drop("k")
+    sinks.write(many.coalesce(1).sortWithinPartitions("event_id"), path, format="eventrec", dictionary=chain.dictionary, compression="none", record_events=100, file_bytes=60_000)
+    c = EventChain.open(spark, path)
+    assert len(c.files) >= 3 and c.num_entries == 3200 and pids(c.arrays(P, ["pid"])) == PIDS * 400
+    none = str(tmp_path / "none")
+    chain.filtered(event_tag=77).skim(none, format="eventrec")
+    assert len(EventChain.open(spark, none)) == 0 and EventChain.open(spark, none).arrays(P).count() == 0
+
+
 def test_paths(tmp_path):
     for n in ("b.hipo", "a.HIPO", "x.txt"):
         (tmp_path / n).write_bytes(b"")
