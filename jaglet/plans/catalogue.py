@@ -18,7 +18,7 @@ from jaglet.plans.tables import SQL, chain, events, flat, table
 from jaglet.schema import Bank
 from jaglet.session import prepare, shared_dir
 from jaglet.streaming import running
-from jaglet.tags import all_bits, bit_indices
+from jaglet.tags import all_bits, any_bit, bit_indices
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -279,14 +279,19 @@ def local_index(spark, d):
     return _longs(chain(spark, d, "Particle").flat("Particle", ["pid"]), "pid")
 
 
-@query("SELECT event_id, count(part.row_idx) AS rows, CAST(sum(count(part.row_idx)) OVER (ORDER BY event_id) AS BIGINT) AS offset_end FROM ev LEFT JOIN part USING (event_id) WHERE event_id < 2000 GROUP BY 1")
+@query("SELECT event_id, count(part.row_idx) AS rows, CAST(sum(count(part.row_idx)) OVER (ORDER BY event_id) AS BIGINT) AS offset_end FROM ev LEFT JOIN part USING (event_id) GROUP BY 1")
 def offsets(spark, d):
-    """Offsets of a column's rows over a range of events: an ordered prefix sum, for export only."""
+    """Offsets of a column's rows over all events: prefix sums within records, plus those of the record table."""
     from pyspark.sql import Window
 
-    df = chain(spark, d, "Particle")._events({"Particle": ["pid"]}, stop=2000).select("event_id", jagged.counts("Particle", "pid").alias("rows"))
-    w = Window.partitionBy(F.lit(0)).orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("offset_end", F.sum("rows").over(w))
+    df = chain(spark, d, "Particle")._events({"Particle": ["pid"]}).select("event_id", "file_index", "record_index", jagged.counts("Particle", "pid").alias("rows"))
+    record = ["file_index", "record_index"]
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    files = df.groupBy("file_index").agg(F.sum("rows").alias("n"))
+    files = files.select("file_index", (F.sum("n").over(up_to(Window.orderBy("file_index"))) - F.col("n")).alias("before_file"))
+    sums = df.groupBy(*record).agg(F.sum("rows").alias("n")).withColumn("before", F.sum("n").over(up_to(Window.partitionBy("file_index").orderBy("record_index"))) - F.col("n"))
+    inner = df.withColumn("inside", F.sum("rows").over(up_to(Window.partitionBy(*record).orderBy("event_id"))))
+    return inner.join(sums.join(files, "file_index").select(*record, "before", "before_file"), record).select("event_id", "rows", (F.col("inside") + F.col("before") + F.col("before_file")).alias("offset_end"))
 
 
 # ---- scalars and physics
@@ -349,9 +354,9 @@ def array_column_sum(spark, d):
 # ---- writing and reading again
 
 
-@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN event_id % 7 ELSE event_tag END AS event_tag FROM ev")
+@query("SELECT event_id, CASE WHEN (event_tag & 1) <> 0 THEN event_tag | 1024 ELSE event_tag END AS event_tag FROM ev")
 def retag_overlay(spark, d):
-    updates = events(spark, d).where("event_id % 10 = 0").select("event_id", (F.col("event_id") % 7).alias("event_tag"))
+    updates = events(spark, d).where(any_bit(F.col("event_tag"), 1)).select("event_id", F.col("event_tag").bitwiseOR(F.lit(1024)).alias("event_tag"))
     return chain(spark, d, "Particle").retagged(updates).event_tags()
 
 
@@ -378,12 +383,11 @@ def skim_banks_dropped(spark, d):
     return back._df.agg(F.count("*").alias("events")).withColumns({"dropped": F.lit(s.dropped_structures).cast("long"), "kept": F.lit(",".join(back))})
 
 
-@query("SELECT event_id + 0 AS event_id, event_tag, file_index::INTEGER AS file_index FROM ev UNION ALL SELECT event_id + (SELECT max(event_id) + 1 FROM ev), event_tag, (file_index + (SELECT max(file_index) + 1 FROM ev))::INTEGER FROM ev WHERE event_id < 500")
+@query("SELECT event_id, event_tag, file_index::INTEGER AS file_index FROM ev UNION ALL SELECT event_id + (SELECT max(event_id) + 1 FROM ev), event_tag, (file_index + (SELECT max(file_index) + 1 FROM ev))::INTEGER FROM ev")
 def chain_union(spark, d):
     """Two chains as one: ids and files of the second carry on after the first."""
     a = chain(spark, d, "Particle")
-    b = a._with(_df=a._df.where("event_id < 500"))
-    return EventChain.concat([a, b])._df.select("event_id", "event_tag", "file_index")
+    return EventChain.concat([a, a])._df.select("event_id", "event_tag", "file_index")
 
 
 @query("SELECT file_index * 14 + (event_id % 4000) // 300 AS chunk_key, min(event_id) AS start, max(event_id) + 1 AS stop, count(*) AS n FROM ev GROUP BY 1")
