@@ -5,7 +5,7 @@ characters of whole texts, with a linear-chain CRF on top, is trained in numpy f
 bounded sample of documents, with spans respelled as people hide them ("name at host dot org", spaced digits, no
 plus). It reads every text in overlapping windows. A window owns its middle; spans that lie there are kept, and
 what windows of one text found is reconciled by score over the whole text. An added span never touches a base span
-nor a match that the base rules dropped.
+nor a match of its own kind that the base rules dropped.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """([(kind, start, end)] by kind, then start; the matches that fail a check)."""
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """([(kind, start, end)] by kind, then start; the matches that fail a check of their kind, likewise)."""
     out, dropped = [], []
     at, done = text.find("@"), 0
     while at >= 0:
@@ -69,18 +69,18 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append((1, *m.span()))
         else:
-            dropped.append(m.span())
+            dropped.append((1, *m.span()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
             out.append((2, *m.span()))
         elif len(digits) >= 7:
-            dropped.append(m.span())
+            dropped.append((2, *m.span()))
     for m in PHONE.finditer(text):
         if 8 <= sum(c in "0123456789" for c in m[0]) <= 15:
             out.append((3, *m.span()))
         else:
-            dropped.append(m.span())
+            dropped.append((3, *m.span()))
     return out, dropped
 
 
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         ids, windows, marks = [], [], []
         for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             spans, dropped = base_spans(t or "")
-            places = [(s + e) // 2 for _, s, e in spans[:3]] + [(s + e) // 2 for s, e in dropped[:2]] + [abs(h) % max(1, len(t or ""))]
+            places = [(s + e) // 2 for _, s, e in spans[:3]] + [(s + e) // 2 for _, s, e in dropped[:2]] + [abs(h) % max(1, len(t or ""))]
             for place in places:
                 lo = max(0, place - 24 - (h ^ place) % 48)
                 hi = lo + 96
@@ -412,7 +412,8 @@ def find_personal_data(docs: DataFrame, model: Tagger | None, text_col: str = "t
                 for k in range(i, j):
                     t = texts[k].as_py() or ""
                     base, dropped = base_spans(t)
-                    taken = [(s, e) for _, s, e in base] + dropped if more[k - i] else []
+                    # a match that failed as a card may well be a phone, and one that failed as an address a phone or a card
+                    taken = [[(s, e) for _, s, e in base] + [(s, e) for failed, s, e in dropped if failed == kind] for kind in range(len(KINDS))] if more[k - i] else []
                     spans = [(kind, s, e, True) for kind, s, e in base]
                     for kind, s, e, score in more[k - i]:
                         while s < e and not t[s].isalnum() and t[s] != "+":
@@ -420,7 +421,7 @@ def find_personal_data(docs: DataFrame, model: Tagger | None, text_col: str = "t
                         while s < e and not t[e - 1].isalnum():
                             e -= 1
                         digits = sum(c.isdigit() for c in t[s:e])
-                        if score >= MARGIN and e - s >= SHORTEST and DIGITS[kind][0] <= digits <= DIGITS[kind][1] and all(e <= x or y <= s for x, y in taken):
+                        if score >= MARGIN and e - s >= SHORTEST and DIGITS[kind][0] <= digits <= DIGITS[kind][1] and all(e <= x or y <= s for x, y in taken[kind]):
                             spans.append((kind, s, e, False))
                     found.append([{"kind": KINDS[a], "start": s, "end": e, "base": c} for a, s, e, c in sorted(spans)])
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in keep], pa.array(found, pa.list_(span))], out.names)

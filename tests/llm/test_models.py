@@ -176,6 +176,40 @@ def test_tagger_learns_and_only_adds(spark, people):
     assert sum(bool(f) and "at mail" in f[0] for f in found) >= 1
 
 
+class Says:
+    """A tagger that finds one given span, of a given kind, in each text."""
+
+    def __init__(self, kind, score=9.0):
+        self.kind, self.score = kind, score
+
+    def tag(self, texts):
+        return [[(self.kind, 0, len(x), self.score)] for x in texts]
+
+
+@pytest.mark.parametrize(
+    "kind, texts, added",
+    [
+        (3, ["1 (212) 555-1234", "(212) 555-1234", "212 555 1234", "0044 20 7946 0958", "1.212.555.1234", "1-212-555-1234"], True),
+        (2, ["4111.1111.1111.1111", "4111/1111/1111/1111"], True),
+        (3, ["+1 212 55", "bob@mail.example.com 212 555 1234"], False),
+        (2, ["4111 1111 1111 1112", "4111-1111-1111-1112"], False),
+        (1, ["300.1.2.3"], False),
+    ],
+)
+def test_added_spans_yield_to_dropped_matches_of_their_kind_only(spark, kind, texts, added):
+    got = {r["doc_id"]: [s for s in r["pii_spans"] if not s["base"]] for r in pii.find_personal_data(frame(spark, list(enumerate(texts))), Says(kind)).collect()}
+    for k, t in enumerate(texts):
+        whole = [(t[s["start"] : s["end"]].strip("()"), s["kind"]) for s in got[k]]
+        assert (len(whole) == 1 and whole[0][0] == t.lstrip("(") and whole[0][1] == pii.KINDS[kind]) if added else not whole, t
+
+
+def test_respelled_phones_and_cards_are_found(spark, people):
+    texts = [(k, f"{'soe tin hera ' * (k % 3)}note {t} then {'ria ' * 5}") for k, t in enumerate(["1 (212) 555-1234", "1-(312)-555-9876", "1.(415).555-2468", "4111.1111.1111.1111", "4012/8888/8888/1881"])]
+    out = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, texts), pii.fit(people)).collect()}
+    kinds = [{s["kind"] for s in out[k]["pii_spans"] if not s["base"]} for k in range(5)]
+    assert sum("phone" in x for x in kinds[:3]) >= 2 and sum("card" in x for x in kinds[3:]) >= 1, kinds
+
+
 def test_windows_agree_with_whole_and_maybe_is_exact():
     model = pii.Tagger(3)
     rng = np.random.default_rng(0)
