@@ -49,7 +49,10 @@ def windowed(stream: DataFrame, time: str, size: str, slide: str | None = None,
     return drain(grouped.select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), *keys, *aggregates), "complete")
 
 
-def sessions(stream: DataFrame, time: str, gap: str, key: str, late: str = "1 hour", **aggregates: Column) -> DataFrame:
-    """Aggregates of each key's sessions, which a pause of `gap` ends."""
-    grouped = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(*[a.alias(n) for n, a in aggregates.items()])
+def sessions(stream: DataFrame, time: str, gap: str, key: str, **aggregates: Column) -> DataFrame:
+    """Aggregates of each key's sessions, which a pause of `gap` ends.
+
+    There is no watermark: under one, Spark drops late rows of sessions in complete mode too, though all state is kept.
+    """
+    grouped = stream.groupBy(F.session_window(time, gap).alias("w"), key).agg(*[a.alias(n) for n, a in aggregates.items()])
     return drain(grouped.select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), key, *aggregates), "complete")

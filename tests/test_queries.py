@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from jaglet.plans.catalogue import ORACLES, QUERIES
+from jaglet.streaming import running
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,6 +37,24 @@ def test_query(spark, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_sessions_of_files_whose_times_interleave(spark, tmp_path):
+    """Files hours behind the newest row seen, and rows that join two sessions, all count."""
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    files = [[(1, 600), (1, 0), (2, 5)], [(1, 20), (2, 300), (1, 615)], [(1, 40), (2, 10), (1, 590), (2, 310)]]
+    for k, part in enumerate(files):
+        spark.createDataFrame([(u, day + datetime.timedelta(minutes=m)) for u, m in part], "user_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        (f,) = (tmp_path / f"p{k}").glob("*.parquet")
+        f.rename(tmp_path / f"events{k}.parquet")
+        os.utime(tmp_path / f"events{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    whole = spark.read.parquet(f"{tmp_path}/events*.parquet")
+    stream = running.read_files(spark, f"{tmp_path}/events*.parquet", like=whole)
+    got = running.sessions(stream, "ts", "30 minutes", "user_id", n=F.count("*")).select("user_id", "w_start", "n").collect()
+    minutes = sorted((r["user_id"], int((r["w_start"] - day).total_seconds()) // 60, r["n"]) for r in got)
+    assert minutes == [(1, 0, 3), (1, 590, 3), (2, 5, 2), (2, 300, 2)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
