@@ -4,7 +4,8 @@ The patterns (email, ip, card, phone) give the base spans; they always stay. A b
 characters of whole texts, with a linear-chain CRF on top, is trained in numpy from base spans as labels, in a
 bounded sample of documents, with spans respelled as people hide them ("name at host dot org", spaced digits, no
 plus). It reads every text in overlapping windows. A window owns its middle; spans that lie there are kept, and
-what windows of one text found is reconciled by score over the whole text. An added span never touches a base span
+what windows of one text found is reconciled by score over the whole text. Where a span reaches over all that two
+windows share, the text is read again in windows of twice the size, until the span is whole. An added span never touches a base span
 nor a match of its own kind that the base rules dropped.
 """
 
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 from jaglet.llm.common import over_batches, session_of, slices, table, text_view, without
 
 KINDS = ("email", "ip", "card", "phone")
-HIDDEN, LENGTH, OVERLAP, CHUNK = 8, 256, 32, 1 << 18
+HIDDEN, CHUNK = 8, 1 << 19
+#: Windows have at most LENGTH characters and share OVERLAP: a span up to that long is whole in the window that owns it.
+LENGTH, OVERLAP = 384, 128
 #: Bound of the sample that the model is trained on: about so many documents, chosen by a hash of their ids.
 SAMPLE = 3000
 #: An added span needs this mean advantage of its tag over "none", and this many characters.
@@ -91,7 +94,7 @@ for _k, _c in enumerate((" \t", "\n\r", "0123456789", "@", ".", "-", "+", "(", "
         _classes[ord(_x)] = _k + 1
 _classes[97:123] = np.arange(20, 46)
 _classes[65:91] = np.arange(20, 46)
-CLASSES = 46  # 0 pads
+CLASSES, DIGIT = 46, int(_classes[48])  # 0 pads
 
 
 def classes_of(data: np.ndarray) -> np.ndarray:
@@ -253,21 +256,25 @@ class Tagger:
                 np.subtract.at(dA, (y[t - 1], y[t]), 1)
         return de.astype(np.float32), dA.astype(np.float32)
 
-    def tag(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+    def tag(self, texts: list[np.ndarray], length: int = LENGTH, overlap: int = OVERLAP) -> list[list[tuple[int, int, int, float]]]:
         """(kind, start, end, score) of each text's classes, reconciled over its windows."""
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         by: dict[int, list[tuple[int, int, int]]] = {}
         for i, x in enumerate(texts):
-            s = 0
+            # windows of one text are about equal, so few sizes are there and batches are wide
+            n = max(1, -(-(len(x) - overlap) // (length - overlap)))
+            most, s = -(-(len(x) + (n - 1) * overlap) // n), 0
             while len(x) >= SHORTEST:
-                size = min(LENGTH, len(x) - s)
-                by.setdefault(-(-size // 32) * 32, []).append((i, s, size))
+                size = min(most, len(x) - s)
+                by.setdefault(-(-most // 32) * 32, []).append((i, s, size))
                 if s + size >= len(x):
                     break
-                s += LENGTH - OVERLAP
+                s += most - overlap
+        cut = set()
         for steps, rows in by.items():
-            for k in range(0, len(rows), 1024):
-                part = rows[k : k + 1024]
+            wide = max(1, 1024 * LENGTH // steps)
+            for k in range(0, len(rows), wide):
+                part = rows[k : k + wide]
                 x = np.zeros((steps, len(part)), np.int64)
                 for c, (i, s, size) in enumerate(part):
                     x[:size, c] = texts[i][s : s + size]
@@ -281,11 +288,16 @@ class Tagger:
                 for c, (i, s, size) in zip(range(len(some)), (part[j] for j in some), strict=True):
                     tags = np.concatenate(([0], path[:size, c], [0]))
                     edge = np.flatnonzero(tags[1:] != tags[:-1])
-                    lo = s + OVERLAP // 2 if s else 0
-                    hi = s + LENGTH - OVERLAP // 2 if s + size < len(texts[i]) else len(texts[i])
+                    last = s + size >= len(texts[i])
+                    lo = s + overlap // 2 if s else 0
+                    hi = len(texts[i]) if last else s + size - overlap // 2
                     for a, b in zip(edge[:-1], edge[1:], strict=True):
                         kind = int(tags[a + 1])
-                        if kind and lo <= s + (a + b) // 2 < hi:
+                        if not kind:
+                            continue
+                        if b - a >= overlap and (a == 0 < s or (b == size and not last)) and (texts[i][s + a : s + b] == DIGIT).sum() <= DIGITS[kind - 1][1]:
+                            cut.add(i)
+                        if lo <= s + (a + b) // 2 < hi:
                             out[i].append((kind - 1, s + int(a), s + int(b), float(lead[a:b, kind, c].mean())))
         for i, spans in enumerate(out):
             kept: list[tuple[int, int, int, float]] = []
@@ -293,6 +305,10 @@ class Tagger:
                 if all(x[2] <= k[1] or k[2] <= x[1] for k in kept):
                     kept.append(x)
             out[i] = kept
+        if cut:
+            again = sorted(cut)
+            for i, spans in zip(again, self.tag([texts[i] for i in again], 2 * length, 2 * overlap), strict=True):
+                out[i] = spans
         return out
 
 

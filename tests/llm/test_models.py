@@ -221,6 +221,24 @@ def test_windows_agree_with_whole_and_maybe_is_exact():
         assert set(np.flatnonzero(path.any(0))) <= set(model.maybe(e).tolist())
 
 
+class Marks(pii.Tagger):
+    """A tagger that takes each run of @ for an email."""
+
+    def emissions(self, x):
+        e = np.zeros((x.shape[0], len(pii.KINDS) + 1, x.shape[1]), np.float32)
+        e[:, 1] = np.where(x == pii.classes_of(np.frombuffer(b"@", np.uint8))[0], 5, -5)
+        e[:, 2:] = -9
+        return e
+
+
+@pytest.mark.parametrize("size", [8, 44, 60, 128, 300, 900])
+def test_spans_over_window_edges_stay_whole(size):
+    places = [0, 1, *range(100, 1200, 7)]
+    texts = [pii.classes_of(np.frombuffer(b"a" * p + b"@" * size + b"b" * (2500 - p - size), np.uint8)) for p in places]
+    got = Marks(1).tag([*texts, texts[0][:size], texts[0][:3]])
+    assert [[x[:3] for x in g] for g in got] == [*[[(0, p, p + size)] for p in places], [(0, 0, size)], []]
+
+
 def test_gradients():
     model = pii.Tagger(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
