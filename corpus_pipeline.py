@@ -15,8 +15,14 @@ from jaglet.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is near enough to a language's centroids; learnt from the documents with a language."""
-    found = langid.identify(docs, langid.fit(docs))
+    """Documents whose text is near enough to a language's centroids; learnt from the documents with a language.
+
+    Where no document has a language, nothing can be told from the rest: texts with a letter stay.
+    """
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model)
     return found.where(~F.col("lang_rejected")).select(*_columns(docs))
 
 

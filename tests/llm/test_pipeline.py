@@ -55,3 +55,11 @@ def test_stages_keep_columns_and_bear_edges(spark, tmp_path):
                 assert docs.columns == df.columns
         docs.count()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, [(1, None), (2, ""), (3, "a clean text"), (4, "12 ..."), (5, "çà")]).withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.identify_language(spark, df, str(tmp_path))
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 5]
