@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -91,10 +91,21 @@ def plan(records: list[RecordRow], step: int | str, start: int | None = None, st
 def chunked(df: DataFrame, chunks: list[Chunk]) -> DataFrame:
     """df with chunk, the number of the chunk that its event is in; other events are left out.
 
-    The table of chunks is broadcast while it is within Spark's own threshold, and joined by range otherwise.
+    Chunks are dealt to stretches of ids as long as a chunk is on average, so that events meet them by an equi-join
+    on the stretch and are compared with the chunks of their own stretch only. The table has two rows a chunk at
+    most on average; Spark broadcasts it while it is within its own threshold.
     """
-    table = df.sparkSession.createDataFrame([(c.number, c.start, c.stop) for c in chunks], "chunk long, c_start long, c_stop long")
-    return df.join(table, (F.col("event_id") >= F.col("c_start")) & (F.col("event_id") < F.col("c_stop"))).drop("c_start", "c_stop")
+    width = max(1, sum(c.stop - c.start for c in chunks) // max(1, len(chunks)))
+    starts, stops = (np.array([getattr(c, k) for c in chunks], np.int64) for k in ("start", "stop"))
+    first = starts // width
+    times = (stops - 1) // width - first + 1
+    row = np.repeat(np.arange(len(chunks)), times)
+    stretch = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    numbers = np.array([c.number for c in chunks], np.int64)
+    held = pa.table({"chunk": numbers[row], "c_start": starts[row], "c_stop": stops[row], "c_stretch": stretch})
+    table = df.sparkSession.createDataFrame(held, "chunk long, c_start long, c_stop long, c_stretch long")
+    own = (F.floor(F.col("event_id") / F.lit(width)) == F.col("c_stretch")) & (F.col("event_id") >= F.col("c_start")) & (F.col("event_id") < F.col("c_stop"))
+    return df.join(table, own).drop("c_start", "c_stop", "c_stretch")
 
 
 def iterate(df: DataFrame, chunks: list[Chunk]) -> Iterator[tuple[pa.Table, Chunk]]:

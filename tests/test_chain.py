@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from jaglet.errors import CorruptFileError
 from jaglet.frame import EventChain
-from jaglet.operators import jagged, sinks
+from jaglet.operators import batches, jagged, sinks
 from jaglet.schema import Bank
 from jaglet.sources.paths import resolve
 from tests.fixtures import PIDS, sample
@@ -225,3 +225,14 @@ def test_composite_source(spark, tmp_path):
     assert [r[0] for r in rows] == [2, 3, 4] and rows[0][1] == [(10, 1.5), (20, 2.5)]
     with pytest.raises(Exception):  # noqa: B017
         c.composite("REC::Event")
+
+
+def test_chunks_meet_events_by_equality(spark):
+    """Chunks of uneven length with holes between them; no plan compares every event with every chunk."""
+    cuts = [(0, 3), (3, 4), (4, 40), (60, 61), (61, 1000)]
+    chunks = [batches.Chunk(k, a, b, "f") for k, (a, b) in enumerate(cuts)]
+    out = batches.chunked(spark.range(0, 1100).withColumnRenamed("id", "event_id"), chunks)
+    assert {(r["event_id"], r["chunk"]) for r in out.collect()} == {(e, k) for k, (a, b) in enumerate(cuts) for e in range(a, b)}
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert batches.chunked(spark.range(5).withColumnRenamed("id", "event_id"), []).count() == 0
