@@ -259,7 +259,7 @@ class EventChain:
     @staticmethod
     def _rows(bank: str, cols: list[str]) -> Column:
         rows = jagged.rows(bank, cols)
-        return F.when(rows.isNotNull(), rows).otherwise(F.filter(F.array(F.get(rows, F.lit(0))), lambda r: F.lit(False)))
+        return F.when(jagged.field(bank, cols[0]).isNotNull(), rows).otherwise(F.filter(F.array(F.get(rows, F.lit(0))), lambda r: F.lit(False)))
 
     def _gather(self, s: Selection, entries: list[int]) -> DataFrame:
         if self.spec.active:

@@ -11,11 +11,15 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EMPTY = F.array
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once for each event: Catalyst doesn't share what stands under a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def field(bank: str, name: str) -> Column:
     """One column of a bank as an array."""
     return F.col(f"`{bank}`.`{name}`")
@@ -90,21 +94,19 @@ def indexed(array: Column) -> Column:
 
 def leading(array: Column, key: Callable[[Column], Column]) -> Column:
     """The row with the greatest key, the first of equals, as a struct (key, i, row); NULL without rows. NaN keys lose."""
-    ranked = F.transform(array, lambda r, i: F.struct(F.when(F.isnan(key(r).cast("double")), F.lit(None)).otherwise(key(r)).alias("key"), (-i).alias("back"), r.alias("row")))
-    best = F.array_max(F.transform(ranked, lambda s: F.struct(s["key"], s["back"])))
-    return F.when(best.isNotNull(), F.struct(best["key"].alias("key"), (-best["back"]).alias("i"), F.get(array, -best["back"]).alias("row")))
+    ranked = F.transform(array, lambda r, i: F.struct(F.when(F.isnan(key(r).cast("double")), F.lit(None)).otherwise(key(r)).alias("key"), (-i).alias("back")))
+    found = lambda best: F.when(best.isNotNull(), F.struct(best["key"].alias("key"), (-best["back"]).alias("i"), F.get(array, -best["back"]).alias("row")))
+    return let(F.array_max(ranked), found)
 
 
 def pairs(array: Column, pair: Callable[[Column, Column], Column]) -> Column:
     """pair(a, b) of all rows a before b, as an array."""
-    held = indexed(array)
-    return F.flatten(F.transform(held, lambda a: F.transform(F.filter(held, lambda b: b["i"] > a["i"]), lambda b: pair(a, b))))
+    return let(indexed(array), lambda held: F.flatten(F.transform(held, lambda a: F.transform(F.slice(held, a["i"] + 2, F.size(held)), lambda b: pair(a, b)))))
 
 
 def product(left: Column, right: Column, pair: Callable[[Column, Column], Column]) -> Column:
     """pair(a, b) of every row of left and every row of right, nested by left."""
-    inner = F.coalesce(right, F.array().cast(T.ArrayType(T.NullType()))) if right is None else right
-    return F.transform(left, lambda a: F.transform(inner, lambda b: pair(a, b)))
+    return let(right, lambda inner: F.transform(left, lambda a: F.transform(inner, lambda b: pair(a, b))))
 
 
 def flat(df: DataFrame, bank: str, names: Iterable[str], keep: Iterable[str] = ("event_id",)) -> DataFrame:
@@ -114,6 +116,11 @@ def flat(df: DataFrame, bank: str, names: Iterable[str], keep: Iterable[str] = (
     return exploded.select(*keep, F.col("row_idx").cast("long").alias("row_idx"), *[F.col(f"__r.`{n}`") for n in names])
 
 
+def exploded(df: DataFrame, keep: Iterable[str], array: Column, row: str = "row") -> DataFrame:
+    """`keep`, row_idx and each row of a computed array. An inner explode would compute the array once more, to filter by its size."""
+    return df.select(*keep, F.posexplode_outer(array).alias("row_idx", row)).where("row_idx is not null").withColumn("row_idx", F.col("row_idx").cast("long"))
+
+
 def nest(flat_rows: DataFrame, bank: str, names: Iterable[str], events: DataFrame | None = None) -> DataFrame:
     """The inverse of flat: event_id and the bank in row order; with `events`, those without rows get []."""
     names = list(names)

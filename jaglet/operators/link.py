@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jaglet.operators.jagged import rows
+from jaglet.operators.jagged import field, let, rows
 
 
 def _slots(n: Column) -> Column:
@@ -16,10 +16,29 @@ def _slots(n: Column) -> Column:
 
 
 def group_by_index(detector: Column, count: Column, index: str = "pindex") -> Column:
-    """The detector's rows of each of `count` particles, in their order; other indices are dropped, particles without rows get []."""
-    held = F.coalesce(detector, F.filter(detector, lambda r: F.lit(False)))
-    n = F.coalesce(count, F.lit(0))
-    return F.transform(_slots(n), lambda i: F.coalesce(F.filter(held, lambda r: r[index] == i), F.array().cast("array<void>")))
+    """The detector's rows of each of `count` particles, in their order; other indices are dropped, particles without rows get [].
+
+    Rows are sorted among one marker for each particle and one behind the last; a particle's rows are the slice
+    between its marker and the next. So the cost is that of one sort, however the rows are dealt.
+    """
+    n = F.coalesce(count, F.lit(0)).cast("int")
+    return let(F.struct(detector.alias("rows"), n.alias("n")), lambda x: _grouped(x["rows"], x["n"], index))
+
+
+def _grouped(held: Column, n: Column, index: str) -> Column:
+    entry = lambda key, mark, at: F.struct(key.cast("long").alias("key"), F.lit(mark).alias("mark"), at.cast("int").alias("at"))
+    marks = F.transform(_slots(n + 1), lambda i: entry(i, 0, i))
+    there = F.coalesce(F.transform(held, lambda r, i: entry(r[index], 1, i)), F.slice(marks, 1, 0))
+    order = F.sort_array(F.concat(marks, there))
+
+    def slices(order: Column) -> Column:
+        places = F.filter(F.transform(order, lambda e, k: F.struct(e["mark"].alias("mark"), k.alias("k"))), lambda e: e["mark"] == 0)
+        return let(F.transform(places, lambda e: e["k"]), lambda at: F.transform(_slots(n), lambda i: own(order, F.get(at, i), F.get(at, i + 1))))
+
+    def own(order: Column, start: Column, stop: Column) -> Column:
+        return F.transform(F.slice(order, start + 2, stop - start - 1), lambda e: F.get(held, e["at"]))
+
+    return let(order, slices)
 
 
 def gather(detector: Column, particles: Column, index: str = "pindex") -> Column:
@@ -49,15 +68,16 @@ def link(df: DataFrame, particles: str, detectors: Iterable[str], fields: dict[s
         there = rows(d, fields[d])
         if directions != "down":
             new[d] = _with_particle(there, own, fields[d], index)
-        grouped.append((d, group_by_index(there, F.size(own), index)))
+        grouped.append((d, group_by_index(there, F.size(field(particles, fields[particles][0])), index)))
     if directions != "up" and grouped:
-        new[particles] = _with_rows(own, fields[particles], grouped)
+        held = F.struct(own.alias("own"), *[g.alias(f"g{k}") for k, (_, g) in enumerate(grouped)])
+        new[particles] = let(held, lambda x: _with_rows(x, fields[particles], [d for d, _ in grouped]))
     return df.withColumns(new)
 
 
 def _with_particle(there: Column, own: Column, names: list[str], index: str) -> Column:
-    return F.transform(there, lambda r: F.struct(*[r[c].alias(c) for c in names], F.get(own, r[index].cast("int")).alias("particle")))
+    return let(own, lambda o: F.transform(there, lambda r: F.struct(*[r[c].alias(c) for c in names], F.get(o, r[index].cast("int")).alias("particle"))))
 
 
-def _with_rows(own: Column, names: list[str], grouped: list[tuple[str, Column]]) -> Column:
-    return F.transform(own, lambda p, i: F.struct(*[p[c].alias(c) for c in names], *[F.get(g, i).alias(d) for d, g in grouped]))
+def _with_rows(held: Column, names: list[str], detectors: list[str]) -> Column:
+    return F.transform(held["own"], lambda p, i: F.struct(*[p[c].alias(c) for c in names], *[F.get(held[f"g{k}"], i).alias(d) for k, d in enumerate(detectors)]))

@@ -234,14 +234,14 @@ def combinations_mass(spark, d):
     df = chain(spark, d, "Particle").arrays("Particle", ["px", "py", "pz"])
     one = F.lit(1.0)
     masses = jagged.pairs(F.col("Particle"), lambda a, b: (K.to_vector(a["row"], one) + K.to_vector(b["row"], one)).mass)
-    return df.select("event_id", masses.alias("m")).where(F.size("m") > 0).select("event_id", F.size("m").cast("long").alias("n_pairs"), F.round(jagged.total(F.col("m")), 3).alias("sum_mass"))
+    return df.where(F.size("Particle") > 1).select("event_id", masses.alias("m")).select("event_id", F.size("m").cast("long").alias("n_pairs"), F.round(jagged.total(F.col("m")), 3).alias("sum_mass"))
 
 
 @query("SELECT a.event_id, count(*) AS n_pairs, count_if(b.pindex = a.row_idx)::BIGINT AS n_match FROM part a JOIN part b USING (event_id) GROUP BY 1")
 def cartesian_match(spark, d):
     df = chain(spark, d).arrays(["Particle", "Calo"])
     grid = F.flatten(jagged.product(jagged.indexed(F.col("Particle")), F.col("Calo"), lambda p, c: c["pindex"] == p["i"]))
-    return df.select("event_id", grid.alias("g")).where(F.size("g") > 0).select("event_id", F.size("g").cast("long").alias("n_pairs"), F.size(F.filter("g", lambda x: x)).cast("long").alias("n_match"))
+    return df.where((F.size("Particle") > 0) & (F.size("Calo") > 0)).select("event_id", grid.alias("g")).select("event_id", F.size("g").cast("long").alias("n_pairs"), F.size(F.filter("g", lambda x: x)).cast("long").alias("n_match"))
 
 
 @query("SELECT p.event_id, p.row_idx, count(c.event_id) AS n_rows, round(coalesce(sum(c.energy), 0), 4) AS energy FROM part p LEFT JOIN part c ON c.event_id = p.event_id AND c.pindex = p.row_idx GROUP BY 1, 2")
@@ -249,22 +249,22 @@ def group_by_index_sum(spark, d):
     """Detector rows regrouped by particle inside the event; out-of-range indices vanish, particles without rows stay."""
     df = chain(spark, d).arrays(["Particle", "Calo"])
     grouped = link.group_by_index(F.col("Calo"), F.size("Particle"))
-    out = df.select("event_id", F.posexplode(grouped).alias("row_idx", "g"))
-    return out.select("event_id", F.col("row_idx").cast("long").alias("row_idx"), F.size("g").cast("long").alias("n_rows"), F.round(jagged.total(F.col("g.energy")), 4).alias("energy"))
+    out = jagged.exploded(df, ["event_id"], grouped, "g")
+    return out.select("event_id", "row_idx", F.size("g").cast("long").alias("n_rows"), F.round(jagged.total(F.col("g.energy")), 4).alias("energy"))
 
 
 @query("SELECT c.event_id, c.row_idx, c.pindex, coalesce(p.pid, -1) AS pid, coalesce(p.px, -1) AS px FROM part c LEFT JOIN part p ON p.event_id = c.event_id AND p.row_idx = c.pindex")
 def link_to_particle(spark, d):
     df = chain(spark, d).link(["Calo"], "Particle", directions="up")
-    out = df.select("event_id", F.posexplode("Calo").alias("row_idx", "r"))
-    return out.select("event_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("r.pindex").cast("long").alias("pindex"), F.coalesce(F.col("r.particle.pid").cast("long"), F.lit(-1)).alias("pid"), F.coalesce("r.particle.px", F.lit(-1.0)).alias("px"))
+    out = jagged.exploded(df, ["event_id"], F.col("Calo"), "r")
+    return out.select("event_id", "row_idx", F.col("r.pindex").cast("long").alias("pindex"), F.coalesce(F.col("r.particle.pid").cast("long"), F.lit(-1)).alias("pid"), F.coalesce("r.particle.px", F.lit(-1.0)).alias("px"))
 
 
 @query("SELECT p.event_id, p.row_idx, p.pid, coalesce(max(c.energy), -1) AS max_energy FROM part p LEFT JOIN part c ON c.event_id = p.event_id AND c.pindex = p.row_idx GROUP BY 1, 2, 3")
 def link_both_ways(spark, d):
     df = chain(spark, d).link(["Calo"], "Particle")
-    out = df.select("event_id", F.posexplode("Particle").alias("row_idx", "r"))
-    return out.select("event_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("r.pid").cast("long").alias("pid"), F.coalesce(F.array_max("r.Calo.energy"), F.lit(-1.0)).alias("max_energy"))
+    out = jagged.exploded(df, ["event_id"], F.col("Particle"), "r")
+    return out.select("event_id", "row_idx", F.col("r.pid").cast("long").alias("pid"), F.coalesce(F.array_max("r.Calo.energy"), F.lit(-1.0)).alias("max_energy"))
 
 
 @query("SELECT ev.event_id, count(part.event_id) AS n, round(coalesce(sum(energy), 0), 4) AS energy FROM ev LEFT JOIN part ON part.event_id = ev.event_id AND pindex = 0 GROUP BY 1")
@@ -333,9 +333,9 @@ def sampling_fraction(spark, d):
     df = chain(spark, d).arrays(["Particle", "Calo"])
     layer = jagged.keep_rows(F.col("Calo"), lambda r: r["layer"] == 1)
     both = F.arrays_zip(F.col("Particle").alias("p"), link.group_by_index(layer, F.size("Particle")).alias("g"))
-    out = df.select("event_id", F.posexplode(both).alias("row_idx", "x")).where("x.p.pid = 11")
+    out = jagged.exploded(df, ["event_id"], both, "x").where("x.p.pid = 11")
     v = K.to_vector(F.col("x.p"))
-    return out.select("event_id", F.col("row_idx").cast("long").alias("row_idx"), F.round(K.sampling_fraction(jagged.total(F.col("x.g.energy")), v.p), 4).alias("fraction"))
+    return out.select("event_id", "row_idx", F.round(K.sampling_fraction(jagged.total(F.col("x.g.energy")), v.p), 4).alias("fraction"))
 
 
 @query("SELECT event_id, bit_count(event_tag)::BIGINT AS n_bits, (event_tag & 33) = 33 AS both, CAST(event_tag | 1024 AS BIGINT) AS with_bit, CASE WHEN (event_tag & 1) <> 0 THEN 0 WHEN (event_tag & 2) <> 0 THEN 1 WHEN (event_tag & 4) <> 0 THEN 2 WHEN (event_tag & 8) <> 0 THEN 3 ELSE 4 END::BIGINT AS lowest FROM ev")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jaglet.frame import EventChain
 from jaglet.schema import Bank, Column as BankColumn, Dictionary
+from jaglet.session import shared_dir
+from jaglet.sources.datasource import FIXED
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
 REGISTRY = {"urgent": 0, "high": 1, "medium": 2, "unspecified": 3, "low": 4, "fulfilled": 5, "open": 6, "partial": 7}
@@ -54,11 +58,37 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), *[c.alias(k) for k, c in {**_particle(F.col), **_calo(F.col)}.items()])
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What files the frame is made of, by path, length and time; contents aren't read."""
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.col("modificationTime").cast("double").alias("at"))
+    seen = files.agg(F.count("*"), F.sum("length"), F.max("at"), F.sum(F.xxhash64("path", "length", "at").cast("decimal(20,0)"))).first()
+    return (spark.sparkContext.applicationId, sf_dir, *seen)
+
+
+_written: dict[tuple, str] = {}
+
+
+def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event frame with both banks, as nested Parquet in event order within files.
+
+    It is written once for an application and state of the tables, in the shared folder, as chains are stored event by
+    event as well; queries read the columns that they need of it, and none shuffles line items again. Events
+    without line items lack the banks.
+    """
+    key = _stamp(spark, sf_dir)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/frame-{uuid.uuid4().hex}"
+        df = events(spark, sf_dir).join(banks(spark, sf_dir, "Particle", "Calo"), "event_id", "left")
+        df.sortWithinPartitions("event_id").write.option("compression", "zstd").parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 def chain(spark: SparkSession, sf_dir: str, *names: str) -> EventChain:
     """The chain of all orders with the named banks (both, without names); orders without line items lack them."""
     names = names or ("Particle", "Calo")
-    df = events(spark, sf_dir).join(banks(spark, sf_dir, *names), "event_id", "left")
-    out = EventChain.from_frame(df, REGISTRY, {"tables": "star"})
+    out = EventChain.from_frame(frame(spark, sf_dir).select(*FIXED, *names), REGISTRY, {"tables": "star"})
     out.dictionary = Dictionary([b for b in (PARTICLE, CALO) if b.name in names])
     return out
 

@@ -105,3 +105,14 @@ def test_fixture_checksums(spark):
     p = e.select("k", (11 + (F.col("e") + F.col("k")) % 7).alias("pid"), (F.col("e").cast("float") * F.lit(0.001).cast("float") + F.col("k").cast("float")).cast("double").alias("px"))
     got = p.agg(F.sum("pid"), F.sum(F.col("pid") + F.col("px"))).first()
     assert got[0] == 8_400_000 and got[1] == pytest.approx(69200102.851, abs=1e-3)
+
+
+def test_links_of_a_large_event(spark):
+    """As many rows as would show a cost by particles times rows; indices out of order, absent and out of range."""
+    n = 3000
+    rows = [(0, [(float(i),) for i in range(n)], [((7 * i) % (n + 5) - 2, 1, float(i)) for i in range(n)])]
+    df = spark.createDataFrame(rows, f"event_id long, P array<struct<px:double>>, D {CALO}")
+    got = one(link.link(df, "P", ["D"], {"P": ["px"], "D": ["pindex", "layer", "energy"]}))
+    for p, particle in enumerate(got["P"]):
+        assert [r["energy"] for r in particle["D"]] == [d[2] for d in rows[0][2] if d[0] == p]
+    assert [r["particle"] and r["particle"]["px"] for r in got["D"]] == [float(d[0]) if 0 <= d[0] < n else None for d in rows[0][2]]
