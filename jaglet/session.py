@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,13 +33,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs on this machine (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             named = current.get()
+        elif not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         else:
             named = tempfile.mkdtemp(prefix="jaglet-")
             sc.setCheckpointDir(named)
