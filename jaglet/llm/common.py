@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -11,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from jaglet.session import shared_dir
 
 #: Rows and bytes of one Arrow batch sent to a Python worker. Texts may be long, so batches are kept small.
 BATCH_ROWS, BATCH_BYTES = "1000", "8388608"
@@ -24,20 +26,6 @@ def session_of(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            named = current.get()
-        else:
-            named = tempfile.mkdtemp(prefix="corpus-")
-            sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
@@ -95,10 +83,46 @@ def crc_mod_value(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where the column of that name stands: the one spelt alike, else the first that is but for case."""
+    for names, wanted in ((df.columns, name), ([c.lower() for c in df.columns], name.lower())):
+        if wanted in names:
+            return names.index(wanted)
+    raise KeyError(f"no column {name!r}")
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, … by their places: names may hold dots, or be those that an operator uses."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that a result is going to name (compared as Spark does, without case)."""
     taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    held = [i for i, c in enumerate(df.columns) if c.lower() not in taken]
+    return by_place(df).select(*[f"c{i}" for i in held]).toDF(*[df.columns[i] for i in held])
+
+
+def extended(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[tuple[int, int, list[pa.Array]]]], added: list[T.StructField], inputs: list[Column], keep: Iterable[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`) with the columns `added`, which replace others of their names; no shuffle.
+
+    kernel gets Arrow batches of the inputs, columns of by_place(df) in their order, and gives for each run of rows
+    (first, last + 1) the arrays of the added columns.
+    """
+    taken = {f.name.lower() for f in added}
+    held = [i for i, c in enumerate(df.columns) if c.lower() not in taken] if keep is None else [place(df, c) for c in keep if c.lower() not in taken]
+    n = len(held)
+    rows = by_place(df).select(*[F.col(f"c{i}").alias(f"k{j}") for j, i in enumerate(held)], *[c.alias(f"i{j}") for j, c in enumerate(inputs)])
+    out = T.StructType([*[T.StructField(f"k{j}", df.schema.fields[i].dataType) for j, i in enumerate(held)], *[T.StructField(f"a{j}", f.dataType) for j, f in enumerate(added)]])
+    names = out.names
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                for i, j, arrays in kernel(pa.RecordBatch.from_arrays(b.columns[n:], names=[f"i{k}" for k in range(b.num_columns - n)])):
+                    yield pa.RecordBatch.from_arrays([*[b.column(k).slice(i, j - i) for k in range(n)], *arrays], names=names)
+
+    return rows.mapInArrow(run, out).toDF(*[df.columns[i] for i in held], *[f.name for f in added])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
