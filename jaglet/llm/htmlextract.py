@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jaglet.llm.common import session_of, table, without
+from jaglet.llm.common import extended, place, session_of, table
 
 RESULT = "main_text"
 PAGES, ROUNDS, DEPTH, RATE, BINS = 420, 32, 4, 0.25, 32
@@ -495,19 +495,14 @@ def extract(pages: DataFrame, html_col: str = "html", keep: Iterable[str] | None
     judged one by one; a column named main_text is replaced. An empty table gives an empty table.
     """
     spark = session_of(pages)
-    pages = without(pages, RESULT)
-    keep = list(pages.columns if keep is None else keep)
     shared = spark.sparkContext.broadcast(model or trained())
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                texts = main_texts(part.column("__html").to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, RESULT])
+    def kernel(b: pa.RecordBatch):
+        for i in range(0, b.num_rows, 200):
+            texts = main_texts(b.column(0).slice(i, 200).to_pylist(), shared.value)
+            yield i, i + len(texts), [pa.array(texts, pa.string())]
 
-    return rows.mapInArrow(run, T.StructType([*[pages.schema[c] for c in keep], T.StructField(RESULT, T.StringType())]))
+    return extended(pages, kernel, [T.StructField(RESULT, T.StringType())], [F.col(f"c{place(pages, html_col)}")], keep)
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -14,18 +14,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jaglet.llm.common import crc_mod, over_batches, session_of, slices, table, text_view, without
+from jaglet.llm.common import crc_mod, extended, over_batches, place, session_of, slices, table, text_view
 
 BUCKETS = 4096
 #: Bound of the labelled sample: about so many documents of each language, chosen by a hash of their ids.
 SAMPLE = 300
 CENTROIDS = 3
-#: A column with more labels isn't one of languages; fit refuses it.
-MOST_LANGUAGES = 10_000
+#: Bound of the languages learnt, which the broadcast centroids grow with: those with the most documents.
+MOST_LANGUAGES = 1000
 #: A text is rejected below this share of the cosine that its language's texts of its length come to.
 REJECT = 0.25
 CHUNK = 1 << 19
@@ -120,10 +120,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """The model of all rows of docs with a text and a language; None without any.
 
     Document frequencies are of all rows. The sample of a language has `sample` rows in expectation (all rows of
-    a rarer one), chosen by hash. Rows with a null text or language are left out.
+    a rarer one) and twice that at most, chosen by hash of the id, or of the text where there is no id. Repeated rows
+    are rows of their own; rows with a null text or language are left out; texts are read whole, in blocks. Of more
+    than MOST_LANGUAGES languages the commonest are learnt.
     """
     spark = session_of(docs)
-    rows = docs.select(F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
+    own = F.when(F.col(f"`{id_col}`").isNotNull(), F.xxhash64(f"`{id_col}`")).otherwise(F.xxhash64(f"`{text_col}`"))
+    rows = docs.select(own.alias("h"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, np.int64), 0
@@ -141,9 +144,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not df[-1]:
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
-    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     # the share of a row's hash in its range picks the rows of a language evenly
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(sample) / r["count"])])
     picked = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.try_element_at(share, F.col("lang"))).select("lang", "h", "text")
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at)), pa.array([r.tobytes() for p in x for r in p], pa.binary())], ["lang", "h", "size", "x"])
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "size"])
+        pdf = pdf.sort_values("at")
         x = np.stack([np.frombuffer(r, np.float32) for r in pdf["x"]])
         c = cluster(x, CENTROIDS)
         cos, near = (x @ c.T).max(1), length_class(pdf["size"].to_numpy())
@@ -166,7 +167,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         usual[: seen[0]] = 0
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "x": [r.astype(np.float32).tobytes() for r in c], "floor": [(REJECT * usual).astype(np.float32).tobytes()] * len(c)})
 
-    grouped = over_batches(picked, vectorise, "lang string, h long, size long, x binary").groupBy("lang").applyInPandas(centroids, "lang string, k int, x binary, floor binary")
+    # rows that share a hash (without ids, equal texts) are in the sample together; a language's part of it stays bounded
+    place_in = F.row_number().over(Window.partitionBy("lang").orderBy("h", "size", "x"))
+    bounded = over_batches(picked, vectorise, "lang string, h long, size long, x binary").withColumn("at", place_in).where(F.col("at") <= 2 * sample)
+    grouped = bounded.groupBy("lang").applyInPandas(centroids, "lang string, k int, x binary, floor binary")
     found = sorted(grouped.collect(), key=lambda r: (r["lang"], r["k"]))
     return Model([r["lang"] for r in found], np.stack([np.frombuffer(r["x"], np.float32) for r in found]), idf, np.stack([np.frombuffer(r["floor"], np.float32) for r in found]))
 
@@ -179,28 +183,27 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     a result's name are replaced. An empty table gives an empty table.
     """
     spark = session_of(docs)
-    docs = without(docs, *RESULT)
-    keep = list(docs.columns if keep is None else keep)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"), F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    text = F.col(f"c{place(docs, text_col)}")
 
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        letters = np.asarray(b.column("__letters"))
+    def kernel(b: pa.RecordBatch):
+        m, letters = shared.value, np.asarray(b.column(1))
         if m is None:
             pred, score, low = ["und"] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool)
         else:
-            near, score, low = m.predict(*text_view(b.column("__text")))
+            near, score, low = m.predict(*text_view(b.column(0)))
             pred = [m.langs[k] if ok else "und" for k, ok in zip(near, letters, strict=True)]
             score, low = np.where(letters, score, 0.0), low | ~letters
-        return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score), pa.array(low)], [*keep, *RESULT])
+        yield 0, b.num_rows, [pa.array(pred, pa.string()), pa.array(score), pa.array(low)]
 
-    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
-    return over_batches(rows, kernel, out)
+    added = [T.StructField(n, t()) for n, t in zip(RESULT, (T.StringType, T.DoubleType, T.BooleanType), strict=True)]
+    return extended(docs, kernel, added, [text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False))], keep)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every document; learnt from documents whose crc32(doc_id) mod 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    return identify(docs, model, keep=["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return identify(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected"
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jaglet.llm import wordhash as wh
-from jaglet.llm.common import materialize, over_batches, session_of, slices, table, text_view, without
+from jaglet.llm.common import by_place, materialize, over_batches, place, session_of, slices, table, text_view, without
 
 WINDOW = 3
 CHUNK = 1 << 20
@@ -70,27 +70,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A text of fewer than three non-empty lines has no window and stays as it is, null and empty texts too (they
     have one empty line, line_count 1; null stays null). Every document stays, if only as an empty text. Rows
     that repeat both id and text are one occurrence and fare alike; a null id sorts first. Columns of docs
-    that bear a result's name are replaced. An empty table gives an empty table.
+    that bear a result's name are replaced. An empty table gives an empty table. Texts may be
+    of any length: lines are hashed in blocks, and a text is cut up in its own row only.
     """
     session_of(docs)
     docs = without(docs, *RESULT)
+    names, own = docs.columns, place(docs, text_col)
     found = materialize(windows(docs, id_col, text_col), "windows")
-    gone = repeated_windows(found).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone")
-    held = docs.withColumn("__hash", F.xxhash64(f"`{text_col}`"))
-    joined = held.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row")), "left").drop("__hash", "__id", "__row")
-    out = T.StructType([*docs.schema.fields, T.StructField("line_count", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.LongType()))])
-    names = docs.columns
+    gone = repeated_windows(found).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("id"), "row", "gone")
+    held = by_place(docs)
+    same = F.col(f"c{place(docs, id_col)}").eqNullSafe(F.col("id")) & (F.xxhash64(f"c{own}") == F.col("row"))
+    joined = held.join(gone, same, "left").drop("id", "row")
+    out = T.StructType([*held.schema.fields, T.StructField("line_count", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.LongType()))])
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts, removed = b.column(text_col), [[] for _ in range(b.num_rows)]
+        texts, removed = b.column(own), [[] for _ in range(b.num_rows)]
         counts = np.ones(b.num_rows, np.int64)
         data, at = text_view(texts)
         ends = np.concatenate(([0], np.cumsum(data[at[0] : at[-1]] == 0x0A)))
         counts += ends[at[1:] - at[0]] - ends[at[:-1] - at[0]]
         changed = {}
-        for i in np.flatnonzero(np.asarray(b.column("__gone").is_valid())).tolist():
-            covered = {p + k for p in b.column("__gone")[i].as_py() for k in range(WINDOW)}
+        for i in np.flatnonzero(np.asarray(b.column("gone").is_valid())).tolist():
+            covered = {p + k for p in b.column("gone")[i].as_py() for k in range(WINDOW)}
             kept, full = [], 0
             for n, line in enumerate(texts[i].as_py().split("\n")):
                 if line and full in covered:
@@ -104,9 +106,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i, t in changed.items():
                 values[i] = t
             texts = pa.array(values, texts.type)
-        return pa.RecordBatch.from_arrays([*[texts if c == text_col else b.column(c) for c in names], pa.array(counts), pa.array(removed, pa.list_(pa.int64()))], [*names, *RESULT])
+        return pa.RecordBatch.from_arrays([*[texts if k == own else b.column(k) for k in range(len(names))], pa.array(counts), pa.array(removed, pa.list_(pa.int64()))], names=out.names)
 
-    return over_batches(joined, kernel, out)
+    return over_batches(joined, kernel, out).toDF(*names, *RESULT)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,15 +10,16 @@ be run again, and a batch that is committed once more changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jaglet.llm.common import session_of, shared_dir, table
+from jaglet.llm.common import extended, place, session_of, table
 from jaglet.llm.tokenizer import default_path, encoder
+from jaglet.session import shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, batch_no long, deleted boolean"
@@ -26,18 +27,19 @@ DELTAS = "source string, lang string, tokenizer string, d_docs long, d_tokens lo
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ("doc_id", "source", "lang")) -> DataFrame:
-    """docs' columns `keep` and n_tokens, the ids of the whole text (null: none); no shuffle."""
+    """docs' columns `keep` and n_tokens, the ids of the whole text (null and empty: none); no shuffle.
+
+    Rows are counted one by one, repeated ones too; an empty table gives an empty table; a column named n_tokens is
+    replaced.
+    """
     session_of(docs)
-    path, keep = path or default_path(), list(keep)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    path = path or default_path()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(b: pa.RecordBatch):
         encode = encoder(path)
-        for b in batches:
-            n = [len(encode(t.as_py() or "")) for t in b.column("__text")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64())], [*keep, "n_tokens"])
+        yield 0, b.num_rows, [pa.array([len(encode(t.as_py() or "")) for t in b.column(0)], pa.int64())]
 
-    return rows.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType())]))
+    return extended(docs, kernel, [T.StructField("n_tokens", T.LongType())], [F.col(f"c{place(docs, text_col)}")], keep)
 
 
 class Rollup:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jaglet.llm import wordhash as wh
-from jaglet.llm.common import crc_mod, over_batches, session_of, slices, table, text_view, without
+from jaglet.llm.common import crc_mod, extended, over_batches, place, session_of, slices, table, text_view
 
 DECAY, SPAN = 0.7, 5
 LANDMARKS = 128
@@ -358,20 +358,17 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text
     judged one by one; a column of docs named toxicity is replaced. An empty table gives an empty table.
     """
     spark = session_of(docs)
-    docs = without(docs, RESULT)
-    keep = list(docs.columns if keep is None else keep)
     shared = spark.sparkContext.broadcast(scorer)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
 
-    def kernel_(b: pa.RecordBatch) -> pa.RecordBatch:
+    def kernel_(b: pa.RecordBatch):
         m, scores = shared.value, np.zeros(b.num_rows)
         if m is not None:
-            data, at = text_view(b.column("__text"))
+            data, at = text_view(b.column(0))
             for i, j in slices(at, CHUNK):
                 scores[i:j] = m.score(*m.worst(data, at[i : j + 1]))
-        return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores)], [*keep, RESULT])
+        yield 0, b.num_rows, [pa.array(scores)]
 
-    return over_batches(rows, kernel_, T.StructType([*[docs.schema[c] for c in keep], T.StructField(RESULT, T.DoubleType())]))
+    return extended(docs, kernel_, [T.StructField(RESULT, T.DoubleType())], [F.col(f"c{place(docs, text_col)}")], keep)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -380,4 +377,4 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     scorer = fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
     scored = score_toxicity(docs, scorer, keep=["doc_id"])
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), F.col(RESULT).alias("score"), (F.col(RESULT) >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), F.col(RESULT).alias("score"), (F.col(RESULT) >= 0.7).cast("int").alias("predicted"))
