@@ -99,10 +99,11 @@ class Plan:
         a = lengths[(lengths > 0) & (lengths < room)]
         if not len(a):
             return
+        # of each length as the longer one, the longest that is no longer, fits beside it, and is there once more
         largest = np.maximum.accumulate(np.where(free > 0, np.arange(limit + 1), 0))
-        b = largest[room - a]
-        ok = (b > 0) & (b <= a) & ((b < a) | (free[a] > 1))
-        total = np.where(ok, a + b, 0)
+        b = largest[np.minimum(a, room - a)]
+        b = np.where((b == a) & (free[a] < 2), largest[a - 1], b)
+        total = np.where(b > 0, a + b, 0)
         best = int(np.argmax(total))
         if total[best] <= small:
             return
@@ -157,5 +158,10 @@ def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of all pieces of docs, which needs doc_id and text.
+
+    Null and empty texts are a piece of the end id alone. Other columns, whatever their names, aren't read; an empty
+    table gives an empty table. Texts of any length are cut into pieces; a task holds one text's ids at a time.
+    """
     pieces = tokenize_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialize(pieces, "pieces"))
