@@ -6,8 +6,10 @@ the label is searched for every node, in groups of one shard's queries against o
 is many bounded tasks. Searches run many queries at a time in numpy. A beam that is still above the threshold at
 its end has not seen all partners: its query goes on through the graph's neighbours until no new one links, without
 a cap. In each group the queries whose id is divisible by 100 (the first few, if there are none) are compared with
-brute force; beams are doubled until recall passes, at the end to the whole shard, which is exact. Every link is
-verified by its cosine in double precision. A group gives counts and its own components, not pairs; components are
+brute force. Beams are doubled until recall passes, at the end to the whole shard, which is exact. Recall is the mean
+over audited queries that have links, a query's link with itself left out, so that one large group of copies can't
+speak for others; and since few queries may have any, as many of the shard's nodes are searched for from a point beside
+them whose cosine is just above the threshold, which have to be found as often. Every link is verified by its cosine in double precision. A group gives counts and its own components, not pairs; components are
 then joined over all groups.
 """
 
@@ -19,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jaglet.llm.common import materialize, session_of, table
 from jaglet.llm.components import connected_components
 
-SHARD = 4096
+#: Nodes of a graph at most, in expectation: some 30 MB with links, and a quarter of a minute to build.
+SHARD = 32768
 LINKS, BEAM, BUILD_BEAM, BATCH = 12, 32, 40, 256
 RECALL = 0.99
 MARGIN = 0.01  # how far below the threshold the way to further partners may lead
@@ -112,18 +116,18 @@ class Graph:
         cand = np.sort(cand, axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         v = self.x[np.maximum(cand, 0)]
-        sims = np.where(cand >= 0, np.einsum("bcd,bd->bc", v, self.x[nodes]), -3)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
-        v = np.take_along_axis(v, order[:, :, None], 1)
+        sims = np.where(cand >= 0, np.matmul(v, self.x[nodes][:, :, None])[:, :, 0], -3)
         pair = np.matmul(v, v.transpose(0, 2, 1))
-        rows, size = cand.shape
-        closest, diverse = np.full((rows, size), -2.0, np.float32), np.zeros((rows, size), bool)
+        order = np.argsort(-sims, axis=1, kind="stable")
+        rows, size = np.arange(len(cand)), cand.shape[1]
+        closest, diverse, count = np.full(cand.shape, -2.0, np.float32), np.zeros(cand.shape, bool), np.zeros(len(cand), np.int64)
         for c in range(size):
-            take = (cand[:, c] >= 0) & (sims[:, c] > closest[:, c]) & (diverse.sum(1) < width)
-            diverse[:, c] = take
-            closest = np.where(take[:, None], np.maximum(closest, pair[:, c, :]), closest)
-        rank = np.argsort(np.where(cand < 0, 2, np.where(diverse, 0, 1)), axis=1, kind="stable")
+            k = order[:, c]
+            take = np.flatnonzero((cand[rows, k] >= 0) & (sims[rows, k] > closest[rows, k]) & (count < width))
+            diverse[take, k[take]] = True
+            count[take] += 1
+            closest[take] = np.maximum(closest[take], pair[take, k[take]])
+        rank = np.argsort(np.where(cand < 0, 9, np.where(diverse, 0, 4) - sims), axis=1, kind="stable")
         best = np.take_along_axis(cand, rank, 1)[:, :width]
         return np.pad(best, ((0, 0), (0, max(0, width - best.shape[1]))), constant_values=-1).astype(np.int32)
 
@@ -228,6 +232,25 @@ def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
+def _beside(x: np.ndarray, least: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n unit vectors, or as many as x has, each of a cosine just above `least` with a row of x, and these rows."""
+    rng = np.random.default_rng(len(x))
+    known = rng.permutation(len(x))[: max(1, n)]
+    z = rng.normal(size=(len(known), x.shape[1]))
+    z -= np.einsum("ij,ij->i", z, x[known])[:, None] * x[known]
+    size = np.sqrt((z * z).sum(1, keepdims=True))
+    cosine = min(1.0, least + 0.25 * (1 - least))
+    return np.where(size > 1e-9, cosine * x[known] + np.sqrt(1 - cosine * cosine) * z / np.maximum(size, 1e-9), x[known]), known
+
+
+def _mean_recall(asked: np.ndarray, got: np.ndarray) -> float:
+    """The mean over queries of the share of their links that were found; 1 without links."""
+    if not len(asked):
+        return 1.0
+    _, at = np.unique(asked, return_inverse=True)
+    return float((np.bincount(at, got) / np.bincount(at)).mean())
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, shard: int = SHARD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links are pairs of equal labels with a cosine >= least.
 
@@ -237,13 +260,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links add up. An empty table gives an empty table; other columns aren't read.
     """
     spark = session_of(vectors)
-    v, null = F.col(f"`{vector_col}`").cast("array<double>"), F.lit(None)
+    # single precision stays as it is on its way, and is exact in double precision
+    given = vectors.select(f"`{vector_col}`").schema[0].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    v = F.col(f"`{vector_col}`") if single else F.col(f"`{vector_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), v.alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(odd, F.lit(True)) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))
     # 128 bits of hash know a vector of a label; 0.0 and -0.0 are alike
-    plain = F.transform("v", lambda x: x + F.lit(0.0))
+    plain = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
     rows = rows.select("vec_id", "label", "v", "ok", F.when(F.col("ok"), F.xxhash64("label", plain)).alias("h1"), F.when(F.col("ok"), F.xxhash64(F.lit(7), plain, "label")).alias("h2"))
     keyed = materialize(rows.select("vec_id", "ok", "h1", "h2"), "vectors")
     classes = keyed.where("ok").select("vec_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"))
@@ -279,18 +305,28 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         mine, y = q.column("node").to_numpy(), unit(matrix(q.column("v")))
         audit = np.flatnonzero(mine % 100 == 0)
         audit = audit if len(audit) else np.argsort(mine, kind="stable")[:8]
-        truth = {(int(i), int(j)) for k in range(0, len(audit), 256) for i, j in ((audit[k + r], c) for r, c in zip(*np.nonzero(y[audit[k : k + 256]] @ x.T >= least), strict=True))}
+        hits = [(k + r, c) for k in range(0, len(audit), 256) for r, c in [np.nonzero(y[audit[k : k + 256]] @ x.T >= least)]]
+        asked, want = (np.concatenate(z) for z in zip(*hits, strict=True))
+        own = mine[audit[asked]] == node[want]
+        asked, want = asked[~own], want[~own]
+        beside, known = _beside(x, least, len(audit))
         beam = BEAM
         while True:
             if beam >= len(x):
                 hits = [(k + r, c) for k in range(0, len(y), 256) for r, c in [np.nonzero(y[k : k + 256] @ x.T >= least)]]
                 i, j = (np.concatenate(z) for z in zip(*hits, strict=True))
                 break
+            p, c = graph.links(beside, least - SLACK, beam)
+            reached = np.zeros(len(known), bool)
+            reached[p[known[p] == c]] = True
+            if reached.mean() < recall:
+                beam *= 2
+                continue
             i, j = graph.links(y, least - SLACK, beam)
             sure = np.concatenate([np.einsum("ij,ij->i", y[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)]) >= least
             i, j = i[sure], j[sure]
-            got = len(truth & set(zip(i.tolist(), j.tolist(), strict=True))) if truth else 0
-            if got >= recall * len(truth):
+            got = np.isin(audit[asked] * len(x) + want, i * len(x) + j)
+            if _mean_recall(asked, got) >= recall:
                 break
             beam *= 2
         other = mine[i] != node[j]
