@@ -11,8 +11,10 @@ nor a match of its own kind that the base rules dropped.
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jaglet.llm.common import over_batches, session_of, slices, table, text_view, without
+from jaglet.llm.common import extended, materialize, over_batches, place, session_of, slices, table, text_view
+from jaglet.llm.wordhash import mix
 
 KINDS = ("email", "ip", "card", "phone")
-HIDDEN, CHUNK = 8, 1 << 19
+HIDDEN, CHUNK = 8, 1 << 21
 #: Windows have at most LENGTH characters and share OVERLAP: a span up to that long is whole in the window that owns it.
-LENGTH, OVERLAP = 384, 128
+#: Their lengths are rounded up to STEP, so that many are read side by side, and cells are at most so many at once.
+LENGTH, OVERLAP, STEP, CELLS = 1024, 128, 128, 1 << 19
 #: Bound of the sample that the model is trained on: about so many documents, chosen by a hash of their ids.
 SAMPLE = 3000
+#: Of a document of the sample, chosen by hash: windows around so many base spans of a kind, and so many failed matches
+#: and mistakes. Of all these windows so many with base spans, and so many others, are learnt from.
+PER_KIND, FAILED, MISTAKES = 2, 2, 6
+WITH_SPANS, WITHOUT_SPANS = 700, 900
 #: An added span needs this mean advantage of its tag over "none", and this many characters.
 MARGIN, SHORTEST = 2.0, 7
 #: Digits that an added span has, by kind.
@@ -151,12 +159,36 @@ class Tagger:
             h *= z[2 * n : 3 * n]
         return out, gates, cells
 
+    def _states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """Twice the hidden states of _lstm, in fewer steps: sigmoid(z) is (tanh(z / 2) + 1) / 2, its halves are put off."""
+        n, (steps, batch) = self.h, x.shape
+        P, U = self.p["P" + d].copy(), 0.5 * self.p["U" + d]
+        P[: 3 * n] *= 0.5
+        U[: 3 * n] *= 0.5
+        out = np.empty((steps, n, batch), np.float32)
+        h, c, half = np.zeros((n, batch), np.float32), np.zeros((n, batch), np.float32), np.float32(0.5)
+        z, q = np.empty((4 * n, batch), np.float32), np.empty((4 * n, batch), np.float32)
+        for t in range(steps):
+            np.matmul(U, h, out=z)
+            np.take(P, x[t], axis=1, out=q, mode="clip")
+            z += q
+            np.tanh(z, out=z)
+            z[: 3 * n] += 1
+            c *= z[n : 2 * n]
+            z[:n] *= z[3 * n :]
+            c += z[:n]
+            c *= half
+            h = np.tanh(c, out=out[t])
+            h *= z[2 * n : 3 * n]
+        return out
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(T, tags, B) of classes x (T, B)."""
-        f = self._lstm("f", x, False)[0]
-        b = self._lstm("b", x[::-1], False)[0][::-1]
-        n = self.h
-        return np.matmul(self.p["W"][:, :n], f) + np.matmul(self.p["W"][:, n:], b) + self.p["b"]
+        n, half = self.h, np.float32(0.5)
+        e = np.matmul(half * self.p["W"][:, :n], self._states("f", x))
+        e += np.matmul(half * self.p["W"][:, n:], self._states("b", np.ascontiguousarray(x[::-1])))[::-1]
+        e += self.p["b"]
+        return e
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """The best tags (T, B) under the CRF."""
@@ -257,7 +289,14 @@ class Tagger:
         return de.astype(np.float32), dA.astype(np.float32)
 
     def tag(self, texts: list[np.ndarray], length: int = LENGTH, overlap: int = OVERLAP) -> list[list[tuple[int, int, int, float]]]:
-        """(kind, start, end, score) of each text's classes, reconciled over its windows."""
+        """(kind, start, end, score) of each text's classes, reconciled over its windows; equal texts are read once."""
+        first: dict[bytes, int] = {}
+        same = [first.setdefault(x.tobytes(), i) for i, x in enumerate(texts)]
+        found = self._tag([texts[i] for i in first.values()], length, overlap)
+        by = dict(zip(first.values(), found, strict=True))
+        return [by[i] for i in same]
+
+    def _tag(self, texts: list[np.ndarray], length: int, overlap: int) -> list[list[tuple[int, int, int, float]]]:
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         by: dict[int, list[tuple[int, int, int]]] = {}
         for i, x in enumerate(texts):
@@ -266,13 +305,14 @@ class Tagger:
             most, s = -(-(len(x) + (n - 1) * overlap) // n), 0
             while len(x) >= SHORTEST:
                 size = min(most, len(x) - s)
-                by.setdefault(-(-most // 32) * 32, []).append((i, s, size))
+                step = STEP if most > STEP else 32
+                by.setdefault(-(-most // step) * step, []).append((i, s, size))
                 if s + size >= len(x):
                     break
                 s += most - overlap
         cut = set()
         for steps, rows in by.items():
-            wide = max(1, 1024 * LENGTH // steps)
+            wide = max(1, CELLS // steps)
             for k in range(0, len(rows), wide):
                 part = rows[k : k + wide]
                 x = np.zeros((steps, len(part)), np.int64)
@@ -299,19 +339,40 @@ class Tagger:
                             cut.add(i)
                         if lo <= s + (a + b) // 2 < hi:
                             out[i].append((kind - 1, s + int(a), s + int(b), float(lead[a:b, kind, c].mean())))
-        for i, spans in enumerate(out):
-            kept: list[tuple[int, int, int, float]] = []
-            for x in sorted(spans, key=lambda x: (-x[3], x[1], x[0])):
-                if all(x[2] <= k[1] or k[2] <= x[1] for k in kept):
-                    kept.append(x)
-            out[i] = kept
+        out = [apart(spans) for spans in out]
         if cut:
             again = sorted(cut)
-            for i, spans in zip(again, self.tag([texts[i] for i in again], 2 * length, 2 * overlap), strict=True):
+            for i, spans in zip(again, self._tag([texts[i] for i in again], 2 * length, 2 * overlap), strict=True):
                 out[i] = spans
         return out
 
 
+def apart(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The spans by falling score, without those that overlap one before."""
+    starts: list[int] = []
+    held: list[tuple[int, int, int, float]] = []
+    kept = []
+    for x in sorted(spans, key=lambda x: (-x[3], x[1], x[0])):
+        k = bisect.bisect_left(starts, x[1])
+        if (k == 0 or held[k - 1][2] <= x[1]) and (k == len(held) or x[2] <= held[k][1]):
+            starts.insert(k, x[1])
+            held.insert(k, x)
+            kept.append(x)
+    return kept
+
+
+class Taken:
+    """Spans that may overlap; touches() says whether another one does, by binary search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        rows = sorted(spans)
+        self.starts, self.ends = [s for s, _ in rows], list(accumulate((e for _, e in rows), max))
+
+    def touches(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e)
+        return k > 0 and self.ends[k - 1] > s
+
+
 def respelled(text: str, kind: int, rng: np.random.Generator) -> str:
     """A personal datum as people write it to escape patterns."""
     way = int(rng.integers(3))
@@ -351,20 +412,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """A tagger of windows around base spans, and elsewhere, of about `sample` documents; None without a span."""
     spark = session_of(docs)
     total = docs.count()
-    chosen = docs.where(F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, sample / max(1, total)))).select(F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{text_col}`").alias("t"))
+    # rows without id go by their texts; rows that share a hash are one
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(F.when(own.isNotNull(), F.xxhash64(own)).otherwise(F.xxhash64(text)).alias("h"), text.alias("t"))
+    chosen = rows.where(F.pmod("h", F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, sample / max(1, total))))
+    chosen = materialize(chosen.groupBy("h").agg(F.min("t").alias("t")), "sample")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, windows, marks = [], [], []
         for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             spans, dropped = base_spans(t or "")
-            places = [(s + e) // 2 for _, s, e in spans[:3]] + [(s + e) // 2 for _, s, e in dropped[:2]] + [abs(h) % max(1, len(t or ""))]
+            middles = [[(s + e) // 2 for k, s, e in spans if k == kind] for kind in range(len(KINDS))]
+            places = [x for m in middles for x in _some(h, m, PER_KIND)] + _some(h, [(s + e) // 2 for _, s, e in dropped], FAILED) + [abs(h) % max(1, len(t or ""))]
+            taken = Taken((s, e) for _, s, e in spans)
             for place in places:
-                lo = max(0, place - 24 - (h ^ place) % 48)
-                hi = lo + 96
-                own = [(k, s - lo, e - lo) for k, s, e in spans if lo <= s and e <= hi]
-                if any(s < hi and e > lo and not (lo <= s and e <= hi) for _, s, e in spans) or not (t or "")[lo:hi]:
-                    continue
-                ids.append(h), windows.append(t[lo:hi]), marks.append([x for m in own for x in m])
+                _window(t or "", h, place, spans, taken, ids, windows, marks)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(windows, pa.string()), pa.array(marks, pa.list_(pa.int32()))], ["h", "window", "marks"])
 
     labelled = lambda kernel: sorted((r["h"], r["window"], list(r["marks"])) for r in over_batches(chosen, kernel, "h long, window string, marks array<int>").collect())
@@ -373,18 +435,41 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     if not held:
         return None
     rng = np.random.default_rng(1)
-    held = [held[i] for i in rng.permutation(len(held))[:700]]
+    held = [held[i] for i in rng.permutation(len(held))[:WITH_SPANS]]
     rest = [x for x in full if not x[1]]
-    rest = [rest[i] for i in rng.permutation(len(rest))[:900]]
+    rest = [rest[i] for i in rng.permutation(len(rest))[:WITHOUT_SPANS]]
     model = Tagger()
     model.learn(*examples([*held, *rest]), steps=280)
     for _ in range(MINED):
         wrong = [(w, [tuple(m[k : k + 3]) for k in range(0, len(m), 3)]) for _, w, m in labelled(_mistakes(spark.sparkContext.broadcast(model)))]
-        rest += [wrong[i] for i in rng.permutation(len(wrong))[:900]]
+        rest += [wrong[i] for i in rng.permutation(len(wrong))[:WITHOUT_SPANS]]
         model.learn(*examples([*held, *rest]), steps=280, rate=0.01)
     return model
 
 
+def _some(h: int, places: list[int], n: int) -> list[int]:
+    """n of the places, chosen by hash, so from anywhere in the text."""
+    if len(places) <= n:
+        return places
+    with np.errstate(over="ignore"):
+        order = np.argsort(mix(np.array(places, np.int64).view(np.uint64) + np.uint64(h & 0xFFFFFFFFFFFFFFFF)), kind="stable")
+    return [places[i] for i in order[:n]]
+
+
+def _window(text: str, h: int, place: int, spans, taken: Taken, ids: list, windows: list, marks: list) -> None:
+    """Add the window of 96 characters around the place, unless it is empty or cuts a base span."""
+    lo = max(0, place - 24 - (h ^ place) % 48)
+    hi = lo + 96
+    if not text[lo:hi]:
+        return
+    first = bisect.bisect_left(taken.ends, lo + 1)
+    last = bisect.bisect_left(taken.starts, hi)
+    near = [x for x in sorted(spans, key=lambda x: x[1:])[first:last] if x[1] < hi and x[2] > lo] if first < last else []
+    if any(not (lo <= s and e <= hi) for _, s, e in near):
+        return
+    ids.append(h), windows.append(text[lo:hi]), marks.append([x for k, s, e in near for x in (k, s - lo, e - lo)])
+
+
 def _mistakes(shared):
     """Windows of the sample around what the model finds beside the base spans, with their base spans."""
 
@@ -394,11 +479,9 @@ def _mistakes(shared):
         tagged = shared.value.tag([classes_of(np.frombuffer(t.encode(), np.uint8)) for t in texts])
         for h, t, found in zip(b.column(0).to_pylist(), texts, tagged, strict=True):
             base, _ = base_spans(t)
-            for _, s, e, _score in [x for x in found if all(x[2] <= p or q <= x[1] for _, p, q in base)][:6]:
-                lo = max(0, (s + e) // 2 - 24 - (h ^ s) % 48)
-                own = [(k, p - lo, q - lo) for k, p, q in base if lo <= p and q <= lo + 96]
-                if not any(p < lo + 96 and q > lo and not (lo <= p and q <= lo + 96) for _, p, q in base):
-                    ids.append(h), windows.append(t[lo : lo + 96]), marks.append([x for m in own for x in m])
+            taken = Taken((s, e) for _, s, e in base)
+            for place in _some(h, [(s + e) // 2 for _, s, e, _score in found if not taken.touches(s, e)], MISTAKES):
+                _window(t, h, place, base, taken, ids, windows, marks)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(windows, pa.string()), pa.array(marks, pa.list_(pa.int32()))], ["h", "window", "marks"])
 
     return kernel
@@ -411,38 +494,37 @@ def find_personal_data(docs: DataFrame, model: Tagger | None, text_col: str = "t
     Rows are judged one by one; a column of docs named pii_spans is replaced. An empty table gives an empty table.
     """
     spark = session_of(docs)
-    docs = without(docs, RESULT)
-    keep = list(docs.columns if keep is None else keep)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
-    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField(RESULT, T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])))])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, at = text_view(b.column("__text"))
-            texts = b.column("__text")
-            for i, j in slices(at, CHUNK):
-                found = []
-                more = shared.value.tag([classes_of(data[at[k] : at[k + 1]]) for k in range(i, j)]) if shared.value else [[]] * (j - i)
-                for k in range(i, j):
-                    t = texts[k].as_py() or ""
-                    base, dropped = base_spans(t)
-                    # a match that failed as a card may well be a phone, and one that failed as an address a phone or a card
-                    taken = [[(s, e) for _, s, e in base] + [(s, e) for failed, s, e in dropped if failed == kind] for kind in range(len(KINDS))] if more[k - i] else []
-                    spans = [(kind, s, e, True) for kind, s, e in base]
-                    for kind, s, e, score in more[k - i]:
-                        while s < e and not t[s].isalnum() and t[s] != "+":
-                            s += 1
-                        while s < e and not t[e - 1].isalnum():
-                            e -= 1
-                        digits = sum(c.isdigit() for c in t[s:e])
-                        if score >= MARGIN and e - s >= SHORTEST and DIGITS[kind][0] <= digits <= DIGITS[kind][1] and all(e <= x or y <= s for x, y in taken[kind]):
-                            spans.append((kind, s, e, False))
-                    found.append([{"kind": KINDS[a], "start": s, "end": e, "base": c} for a, s, e, c in sorted(spans)])
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in keep], pa.array(found, pa.list_(span))], out.names)
-
-    return rows.mapInArrow(run, out)
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+    fields = [T.StructField(n, t()) for n, t in (("kind", T.StringType), ("start", T.LongType), ("end", T.LongType), ("base", T.BooleanType))]
+
+    def kernel(b: pa.RecordBatch):
+        texts = b.column(0)
+        data, at = text_view(texts)
+        for i, j in slices(at, CHUNK):
+            more = shared.value.tag([classes_of(data[at[k] : at[k + 1]]) for k in range(i, j)]) if shared.value else [[]] * (j - i)
+            found = [[{"kind": KINDS[a], "start": s, "end": e, "base": c} for a, s, e, c in all_spans(texts[k].as_py() or "", more[k - i])] for k in range(i, j)]
+            yield i, j, [pa.array(found, span)]
+
+    return extended(docs, kernel, [T.StructField(RESULT, T.ArrayType(T.StructType(fields)))], [F.col(f"c{place(docs, text_col)}")], keep)
+
+
+def all_spans(text: str, more: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, bool]]:
+    """The base spans of a text, and those of `more` that are let in beside them, by kind, then start."""
+    base, dropped = base_spans(text)
+    spans = [(kind, s, e, True) for kind, s, e in base]
+    if more:
+        # a match that failed as a card may well be a phone, and one that failed as an address a phone or a card
+        taken = [Taken([(s, e) for _, s, e in base] + [(s, e) for failed, s, e in dropped if failed == kind]) for kind in range(len(KINDS))]
+        for kind, s, e, score in more:
+            while s < e and not text[s].isalnum() and text[s] != "+":
+                s += 1
+            while s < e and not text[e - 1].isalnum():
+                e -= 1
+            digits = sum(c.isdigit() for c in text[s:e])
+            if score >= MARGIN and e - s >= SHORTEST and DIGITS[kind][0] <= digits <= DIGITS[kind][1] and not taken[kind].touches(s, e):
+                spans.append((kind, s, e, False))
+    return sorted(spans)
 
 
 def _count(spans, kind: str):
