@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jaglet.llm.wordhash import mix
 from jaglet.session import shared_dir
 
 #: Rows and bytes of one Arrow batch sent to a Python worker. Texts may be long, so batches are kept small.
@@ -125,5 +126,38 @@ def extended(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[tuple[in
     return rows.mapInArrow(run, out).toDF(*[df.columns[i] for i in held], *[f.name for f in added])
 
 
+#: A Bloom filter has 16 bits an id, and 2**27 (16 MB) at most; beyond that it lets more through.
+LEAST_BITS, MOST_BITS = 16, 27
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter, as bytes, of the ids (one long column, no nulls); sized by their number, put together in Spark."""
+    spread = min(MOST_BITS, max(LEAST_BITS, int(16 * max(1, ids.count())).bit_length()))
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        h = np.unique(_bits_of(b.column(0).to_numpy(), spread).ravel())
+        at, where = np.unique(h >> 5, return_inverse=True)
+        held = np.zeros(len(at), np.int64)
+        np.bitwise_or.at(held, where, np.int64(1) << (h & 31))
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(held)], ["word", "bits"])
+
+    rows = over_batches(ids, kernel, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (spread - 5), "<u4")
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def in_bloom(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be among those that the filter was made of; never false for one that is."""
+    h = _bits_of(ids, (len(held) * 8).bit_length() - 1)
+    return ((held[h >> 3] >> (h & 7).astype(np.uint8)) & 1).astype(bool).all(0)
+
+
+def _bits_of(ids: np.ndarray, spread: int) -> np.ndarray:
+    """Three bit positions (rows) of each id."""
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([((h >> np.uint64(s)) & np.uint64((1 << spread) - 1)).astype(np.int64) for s in (0, 18, 37)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,17 +9,18 @@ that the postings of common passages stay short. What is done, in order:
 2. signatures: a second pass gives each text its set's 128-bit fingerprint, size and prefix. Texts with equal
    sets form one node (named by their smallest id), so copies cost one row each and nothing more.
 3. postings: (shingle, node, size, position) dealt by shingle. Shingles in buckets far above the mean, which
-   hot passages are in, are dealt as pairs of blocks of nodes: no task gets a hot posting list whole.
-4. stars: each posting list links its nodes to its most central node (the least position, i.e. the fewest
-   rarer shingles), if length and positional filters allow. These pairs, each once, go through the suffix
-   filter and exact verification, and give first components. A group of copies so costs rows in proportion
-   to its members.
+   hot passages are in, are dealt in salted parts: no task gets a hot posting list whole, and no row is sent twice.
+4. stars: each part links its nodes to its most central node (the least position, i.e. the fewest rarer
+   shingles), and the parts' central nodes are linked to the list's, if length and positional filters allow. These
+   pairs, each once, go through the suffix filter and exact verification, and give first components. A
+   group of copies so costs rows in proportion to its members.
 5. rest: all other pairs of a posting list whose ends are in different components, once each, through the
    same filters and verification. Pairs inside one component can't change the components, so the result is
-   that of all pairs.
+   that of all pairs. Lists are counted for this, exactly; those of one component go, and those of more than
+   LIST_ROWS rows are dealt as pairs of blocks, so a task holds two blocks at most.
 
 Verification intersects the whole shingle sets. They are computed from the texts once more, only for nodes
-in a Bloom filter of the candidates (fixed size; false positives cost time, never results).
+in a Bloom filter of the candidates, sized by their number (false positives cost time, never results).
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jaglet.llm import wordhash as wh
-from jaglet.llm.common import materialize, over_batches, session_of, slices, text_view
+from jaglet.llm.common import bloom, in_bloom, materialize, over_batches, session_of, slices, text_view
 from jaglet.llm.components import connected_components
 
 SKETCH_BITS = 18
-BLOOM_BITS = 23
-#: A bucket of the sketch is hot from this many times the mean on, and then has a block per such multiple.
+#: A bucket of the sketch is hot from this many times the mean on, and then has a part per such multiple.
 HOT = 32
+#: Rows of a posting list that a task compares whole; longer ones are blocks of so many, which meet in pairs.
+LIST_ROWS = 8192
 #: Hash ranges whose shingles a signature counts, up to 255 each, for the suffix filter.
 PARTS = 128
 CHUNK = 1 << 20
@@ -121,7 +123,7 @@ class Join:
         return over_batches(self.docs, kernel, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, parts binary")
 
     def postings(self, nodes: DataFrame, sketch) -> DataFrame:
-        """The posting lists of two nodes and more, each with its most central node: key, node, n, pos, hub, hub_n, hub_pos."""
+        """The posting lists of two nodes and more, each part with its most central node: key, part (-1: the only one), node, n, pos, hub, hub_n, hub_pos."""
 
         def emit(b: pa.RecordBatch) -> pa.RecordBatch:
             counts = sketch.value
@@ -131,41 +133,45 @@ class Join:
             key = col.flatten().to_numpy().view(np.uint64)
             row = np.repeat(np.arange(len(node)), length)
             pos = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
-            blocks = np.maximum(1, counts[(key >> wh.U64(64 - SKETCH_BITS)).astype(np.int64)] // max(1, int(HOT * max(1.0, counts.mean()))))
-            mine = (wh.mix(node.view(np.uint64)) % np.uint64(1 << 30)).astype(np.int64)[row] % blocks
-            again = np.repeat(np.arange(len(key)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            lo, hi = np.minimum(mine[again], other), np.maximum(mine[again], other)
-            with np.errstate(over="ignore"):
-                keys = np.where(blocks[again] > 1, wh.mix(key[again] + (lo * 65537 + hi + 1).astype(np.uint64)), key[again]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[row][again]), pa.array(n[row][again].astype(np.int32)), pa.array(pos[again].astype(np.int32))], ["key", "node", "n", "pos"])
-
-        dealt = over_batches(nodes.select("node", "n", "prefix"), emit, "key long, node long, n int, pos int")
-        dealt = dealt.repartition(self._parts(), "key").sortWithinPartitions("key", "pos", "node")
-        names = ["key", "node", "n", "pos"]
+            parts = np.maximum(1, counts[(key >> wh.U64(64 - SKETCH_BITS)).astype(np.int64)] // max(1, int(HOT * max(1.0, counts.mean()))))
+            part = np.where(parts > 1, (wh.mix(node.view(np.uint64)) % np.uint64(1 << 30)).astype(np.int64)[row] % parts, -1)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(node[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names)
+
+        names = ["key", "part", "node", "n", "pos"]
+        dealt = over_batches(nodes.select("node", "n", "prefix"), emit, "key long, part int, node long, n int, pos int")
+        dealt = dealt.repartition(self._parts(), "key", "part").sortWithinPartitions("key", "part", "pos", "node")
 
         def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hub = None  # the first row of the list being read, and whether it was given out
+            hub = None  # the first row of the part being read, and whether it was given out
             for b in batches:
-                cols = [b.column(i).to_numpy() for i in range(4)]
+                cols = [b.column(i).to_numpy() for i in range(5)]
                 if not len(cols[0]):
                     continue
                 if hub is not None:
                     cols = [np.concatenate((np.array([h], c.dtype), c)) for h, c in zip(hub[0], cols, strict=True)]
-                key = cols[0]
-                begins = np.concatenate(([True], key[1:] != key[:-1]))
+                key, part = cols[:2]
+                begins = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
                 group = np.cumsum(begins) - 1
                 at = np.flatnonzero(begins)
                 sizes = np.bincount(group)
-                keep = sizes[group] > 1
+                keep = (sizes[group] > 1) | (part >= 0)  # a row alone in its part may meet those of others
                 if hub is not None and hub[1]:
                     keep[0] = False
                 last = at[-1]
-                hub = (tuple(c[last] for c in cols), bool(sizes[-1] > 1) or (hub is not None and hub[1] and last == 0))
+                hub = (tuple(c[last] for c in cols), bool(keep[last]) or (hub is not None and hub[1] and last == 0))
                 head = at[group]
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols] + [pa.array(c[head][keep]) for c in cols[1:]], [*names, "hub", "hub_n", "hub_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols] + [pa.array(c[head][keep]) for c in cols[2:]], [*names, "hub", "hub_n", "hub_pos"])
 
-        return dealt.mapInArrow(shared, "key long, node long, n int, pos int, hub long, hub_n int, hub_pos int")
+        return dealt.mapInArrow(shared, "key long, part int, node long, n int, pos int, hub long, hub_n int, hub_pos int")
+
+    def stars(self, posts: DataFrame) -> DataFrame:
+        """Pairs (a, b), each once, of nodes and their part's hub, and of hubs and their list's, that pass the filters."""
+        heads = posts.where("part >= 0 and node = hub")
+        lead = heads.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("lead")).select("key", F.col("lead.node").alias("hub"), F.col("lead.n").alias("hub_n"), F.col("lead.pos").alias("hub_pos"))
+        names = ["node", "n", "pos", "hub", "hub_n", "hub_pos"]
+        rows = posts.select(*names).unionByName(heads.select("key", "node", "n", "pos").join(lead, "key").select(*names)).where("node <> hub")
+        rows = rows.where(self.passing(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos")))
+        return rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def _parts(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,23 +186,31 @@ class Join:
         """Pairs (a, b), each once, of nodes that share a posting list but no component, and pass the filters."""
         percent = self.percent
         labelled = posts.select("key", "node", "n", "pos").join(component, "node", "left").select("key", "n", "pos", "node", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.repartition(self._parts(), "key").sortWithinPartitions("key", "component", "pos")
+        sizes = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows")).where("least <> most")
+        mixed = materialize(sizes.select("key", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("blocks")), "mixed")
+        rows = labelled.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        lone = (F.col("blocks") == 1) | (F.col("mine") == F.col("other"))
+        key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        rows = rows.select(key.alias("key"), "n", "pos", "node", "component", F.when(F.col("blocks") == 1, -1).otherwise(F.col("mine")).alias("mine"), lone.alias("lone"))
+        mixed = rows.repartition(self._parts(), "key").sortWithinPartitions("key", "component", "pos")
 
         def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] | None = None
 
             def cross(cols):
-                key, n, pos, node, comp = cols
+                key, n, pos, node, comp, mine, lone = cols
                 begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
                 for s, e in zip(begins[:-1], begins[1:], strict=True):
                     if comp[s] == comp[e - 1]:
                         continue
-                    size, at, who, of = n[s:e].astype(np.int64), pos[s:e].astype(np.int64), node[s:e], comp[s:e]
-                    # the positional filter against a set of the best size leaves few rows of a common list
-                    some = size - at >= at_least(percent, size, -(-(percent * size) // 100))
-                    size, at, who, of = size[some], at[some], who[some], of[some]
+                    size, at, who, of, side = n[s:e].astype(np.int64), pos[s:e].astype(np.int64), node[s:e], comp[s:e], mine[s:e]
+                    apart = not lone[s]  # two blocks meet here; each alone meets itself elsewhere
                     for i in range(0, len(who), 512):
-                        x, y = np.nonzero(of[i : i + 512, None] < of[None, :])
+                        meet = of[i : i + 512, None] < of[None, :]
+                        if apart:
+                            meet &= side[i : i + 512, None] != side[None, :]
+                        x, y = np.nonzero(meet)
                         x += i
                         ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
                         ok &= np.minimum(size[x] - at[x], size[y] - at[y]) >= at_least(percent, size[x], size[y])
@@ -205,7 +219,7 @@ class Join:
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
             for b in batches:
-                cols = [b.column(i).to_numpy() for i in range(5)]
+                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
                 if not len(cols[0]):
                     continue
                 if held is not None:
@@ -234,13 +248,12 @@ class Join:
             return pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[ok]) for c in ("a", "b")], ["a", "b"])
 
         near = materialize(over_batches(near.select("a", "b", "an", "bn", "aparts", "bparts"), suffix, "a long, b long"), "near")
-        wanted = self.spark.sparkContext.broadcast(self._bloom(near.select("a").union(near.select("b").withColumnRenamed("b", "a"))))
+        some = near.select("a").union(near.select("b").withColumnRenamed("b", "a")).distinct()
+        wanted = self.spark.sparkContext.broadcast(bloom(some))
 
         def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = wanted.value
             for batch in batches:
-                h = _bloom_at(batch.column(0).fill_null(0).to_numpy())
-                hit = np.flatnonzero(((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1).all(0) & np.asarray(batch.column(0).is_valid()))
+                hit = np.flatnonzero(in_bloom(wanted.value, batch.column(0).fill_null(0).to_numpy()) & np.asarray(batch.column(0).is_valid()))
                 if not len(hit):
                     continue
                 some = batch.take(pa.array(hit))
@@ -272,26 +285,6 @@ class Join:
 
         return materialize(over_batches(both.select("a", "b", "aitems", "bitems"), check, "a long, b long").distinct(), "links")
 
-    def _bloom(self, ids: DataFrame) -> np.ndarray:
-        def place(b: pa.RecordBatch) -> pa.RecordBatch:
-            h = np.unique(_bloom_at(b.column(0).to_numpy()).ravel())
-            word, bit = h >> 5, np.int64(1) << (h & 31)
-            at, where = np.unique(word, return_inverse=True)
-            bits = np.zeros(len(at), np.int64)
-            np.bitwise_or.at(bits, where, bit)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits)], ["word", "bits"])
-
-        rows = over_batches(ids, place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        bits = np.zeros(1 << (BLOOM_BITS - 5), "<u4")
-        bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.uint32)
-        return bits.view(np.uint8)
-
-
-def _bloom_at(ids: np.ndarray) -> np.ndarray:
-    """Three bit positions (rows) of each id."""
-    h = wh.mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([((h >> wh.U64(s)) & wh.U64((1 << BLOOM_BITS) - 1)).astype(np.int64) for s in (0, 20, 41)])
-
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, itself included).
@@ -299,7 +292,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs needs an integer id and a text; other columns may be there and are not read. Null, empty and blank
     texts have no shingles and link with nothing. Equal texts link. A row without id is compared with nothing
     and gets a null component. Rows that repeat an id are one document: it links where any of its texts does.
-    An empty table gives an empty table. Ids must fit in 64 bits.
+    An empty table gives an empty table. Ids must fit in 64 bits. Texts may be of any length: words are hashed in blocks,
+    a text's set is in one task's memory.
     """
     join = Join(docs, id_col, text_col, size, percent)
     sketch = join.spark.sparkContext.broadcast(join.sketch())
@@ -309,8 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = named.join(classes.withColumnsRenamed({"fp1": "g1", "fp2": "g2"}), (F.col("fp1") == F.col("g1")) & (F.col("fp2") == F.col("g2")) & (F.col("doc_id") == F.col("node")))
     nodes = materialize(heads.select("node", "n", "prefix", "parts"), "nodes")
     posts = materialize(join.postings(nodes, sketch), "postings")
-    stars = posts.where("node <> hub").where(join.passing(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos")))
-    stars = materialize(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "stars")
+    stars = materialize(join.stars(posts), "stars")
     links = join.verified(stars, nodes)
     component = materialize(connected_components(links), "components")
     rest = join.crossing(posts, component).join(stars, ["a", "b"], "left_anti")

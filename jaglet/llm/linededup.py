@@ -4,6 +4,9 @@ Lines are what "\\n" cuts; empty lines are kept but are no part of windows. A wi
 non-empty lines of one text, known by 128 bits of hash. The first occurrence of a window, by document id, then
 place, stays; every later one, in the same document too, is removed. Where later windows of a document overlap,
 the lines they cover are merged and removed once.
+
+Windows alone are shuffled to find the first of each. Texts are joined with what goes only where a Bloom filter of the
+documents with later windows lets them through; all others pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jaglet.llm import wordhash as wh
-from jaglet.llm.common import by_place, materialize, over_batches, place, session_of, slices, table, text_view, without
+from jaglet.llm.common import bloom, by_place, in_bloom, materialize, over_batches, place, session_of, slices, table, text_view, without
 
 WINDOW = 3
 CHUNK = 1 << 20
@@ -78,11 +81,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names, own = docs.columns, place(docs, text_col)
     found = materialize(windows(docs, id_col, text_col), "windows")
     gone = repeated_windows(found).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("id"), "row", "gone")
-    held = by_place(docs)
-    same = F.col(f"c{place(docs, id_col)}").eqNullSafe(F.col("id")) & (F.xxhash64(f"c{own}") == F.col("row"))
-    joined = held.join(gone, same, "left").drop("id", "row")
-    out = T.StructType([*held.schema.fields, T.StructField("line_count", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.LongType()))])
+    gone = materialize(gone.select(F.col("doc_id").alias("id"), "row", "gone"), "gone")
+    session_of(docs)
+    hits = docs.sparkSession.sparkContext.broadcast(bloom(gone.select(F.xxhash64("id", "row"))))
+    id_, text = F.col(f"c{place(docs, id_col)}"), F.col(f"c{own}")
+    held = by_place(docs).withColumn("hash", F.xxhash64(text)).withColumn("key", F.xxhash64(id_, "hash"))
+    plain = T.StructType([f for f in held.schema.fields if f.name != "key"])
+    out = T.StructType([*plain.fields[:-1], T.StructField("line_count", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.LongType()))])
+
+    def some(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(in_bloom(hits.value, b.column(len(names) + 1).to_numpy()))).select(plain.names)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, removed = b.column(own), [[] for _ in range(b.num_rows)]
@@ -108,7 +116,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = pa.array(values, texts.type)
         return pa.RecordBatch.from_arrays([*[texts if k == own else b.column(k) for k in range(len(names))], pa.array(counts), pa.array(removed, pa.list_(pa.int64()))], names=out.names)
 
-    return over_batches(joined, kernel, out).toDF(*names, *RESULT)
+    def others(b: pa.RecordBatch) -> pa.RecordBatch:
+        rest = b.filter(pa.array(~in_bloom(hits.value, b.column(len(names) + 1).to_numpy())))
+        return kernel(rest.select(names_by_place).append_column("gone", pa.nulls(rest.num_rows, pa.list_(pa.int32()))))
+
+    names_by_place = plain.names[:-1]
+    met = over_batches(held, some, plain)
+    same = id_.eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row"))
+    joined = met.join(gone, same, "left").select(*names_by_place, "gone")
+    return over_batches(joined, kernel, out).unionByName(over_batches(held, others, out)).toDF(*names, *RESULT)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

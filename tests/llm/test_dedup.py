@@ -73,17 +73,19 @@ def near_corpus(seed):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, rows[0][1]), (None, rows[0][1]), (n + 4, "one"), (n + 5, "One")]
 
 
-@pytest.mark.parametrize("seed,size,percent,hot", [(1, 4, 85, 32), (2, 5, 80, 32), (3, 4, 85, 1)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, size, percent, hot):
+@pytest.mark.parametrize("seed,size,percent,hot,most", [(1, 4, 85, 32, 8192), (2, 5, 80, 32, 2), (3, 4, 85, 0.0001, 3)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, seed, size, percent, hot, most):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", most)
     rows = near_corpus(seed)
     got = plain(jaccard.near_duplicates(frame(spark, rows, "component_id").repartition(3), size=size, percent=percent))
     assert got == brute_classes(rows, size, percent)
 
 
 def test_hot_groups_split(spark, monkeypatch):
-    """Blocks of a hot posting list still meet pairwise."""
+    """Parts of a hot posting list still meet, and blocks of a long one, pair by pair."""
     monkeypatch.setattr(jaccard, "HOT", 0.0001)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 3)
     rng = random.Random(9)
     base = words(rng, 60)
     rows = [(k, " ".join([*base[:10], f"edit{k}", *base[11:]])) for k in range(40)]
