@@ -26,8 +26,9 @@ SAMPLE = 300
 CENTROIDS = 3
 #: Bound of the languages learnt, which the broadcast centroids grow with: those with the most documents.
 MOST_LANGUAGES = 1000
-#: A text is rejected below this share of the cosine that its language's texts of its length come to.
-REJECT = 0.25
+#: A text is rejected below both these shares of what its language's texts of its length come to: of their median
+#: cosine, and of the cosine that a twentieth of them is below (short texts scatter widely).
+REJECT, LOW = 0.4, 0.8
 CHUNK = 1 << 19
 LENGTHS = np.array([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192])
 RESULT = ("lang_pred", "lang_score", "lang_rejected")
@@ -112,6 +113,15 @@ class Model:
         return np.concatenate(near), np.concatenate(score).astype(np.float64), np.concatenate(low)
 
 
+def _by_length(cos: np.ndarray, near: np.ndarray, q: float) -> np.ndarray:
+    """A quantile of cosines by length class; classes without members take from those beside them, the first ones nothing."""
+    own = np.array([np.quantile(cos[near == k], q) if (near == k).any() else np.nan for k in range(len(LENGTHS))])
+    seen = np.flatnonzero(~np.isnan(own))
+    own = np.minimum.accumulate(np.interp(np.arange(len(LENGTHS)), seen, own[seen])[::-1])[::-1].copy()
+    own[: seen[0]] = 0
+    return own
+
+
 def length_class(size: np.ndarray) -> np.ndarray:
     return np.maximum(np.searchsorted(LENGTHS, size, "right") - 1, 0)
 
@@ -144,10 +154,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not df[-1]:
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    # the share of a row's hash in its range picks the rows of a language evenly
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(sample) / r["count"])])
-    picked = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.try_element_at(share, F.col("lang"))).select("lang", "h", "text")
+    # the share of a row's hash in its range picks the rows of a language evenly, the lowest in any case
+    level = F.pmod("h", F.lit(1_000_003)) / 1_000_003.0
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(level).alias("low")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(float(sample) / r["n"], r["low"]))])
+    picked = rows.where(level <= F.try_element_at(share, F.col("lang"))).select("lang", "h", "text")
     shared = spark.sparkContext.broadcast(idf)
 
     def vectorise(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,12 +171,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         x = np.stack([np.frombuffer(r, np.float32) for r in pdf["x"]])
         c = cluster(x, CENTROIDS)
         cos, near = (x @ c.T).max(1), length_class(pdf["size"].to_numpy())
-        # the usual cosine by length; classes without members take those of the next shorter one, the first ones the least
-        usual = np.array([np.median(cos[near == k]) if (near == k).any() else np.nan for k in range(len(LENGTHS))])
-        seen = np.flatnonzero(~np.isnan(usual))
-        usual = np.minimum.accumulate(np.interp(np.arange(len(LENGTHS)), seen, usual[seen])[::-1])[::-1]
-        usual[: seen[0]] = 0
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "x": [r.astype(np.float32).tobytes() for r in c], "floor": [(REJECT * usual).astype(np.float32).tobytes()] * len(c)})
+        floor = np.minimum(REJECT * _by_length(cos, near, 0.5), LOW * _by_length(cos, near, 0.05))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "x": [r.astype(np.float32).tobytes() for r in c], "floor": [floor.astype(np.float32).tobytes()] * len(c)})
 
     # rows that share a hash (without ids, equal texts) are in the sample together; a language's part of it stays bounded
     place_in = F.row_number().over(Window.partitionBy("lang").orderBy("h", "size", "x"))
