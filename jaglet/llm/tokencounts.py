@@ -2,10 +2,12 @@
 
 A rollup is a folder of committed batches. A batch of changes (inserts and revisions of a document's count, deletes)
 becomes signed deltas against what the ledger has of these documents: the old count leaves, the new one enters.
-Totals by source, language and tokenizer version are additive, so they are the sum of all deltas; a batch costs
-in proportion to its own changes beside one join with the ledger. Batches are written under their id and take
-effect with their marker file, which is written last: a batch that failed half-way leaves nothing that is read and may
-be run again, and a batch that is committed once more changes nothing.
+Totals by source, language and tokenizer version are additive, so they are the sum of all deltas. The ledger is kept
+in buckets of document ids, and a batch is joined with the buckets that its documents are in; compact() writes what
+the ledger has come to as one table, so the cost of a batch doesn't grow with their number. Batches are written under
+their id and take effect with their marker file, which is written last: a batch that failed half-way leaves
+nothing that is read and may be run again, and a batch that is committed once more changes nothing. A marker has the
+batch's number for its name and is never overwritten, so of two writers that saw the same state one fails.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,8 @@ from jaglet.session import shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, batch_no long, deleted boolean"
+#: Buckets of the ledger, the same for all of a rollup's life.
+BUCKETS = 64
 DELTAS = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
 
 
@@ -52,25 +57,71 @@ class Rollup:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _marked(self, folder: str) -> dict[int, str]:
+        """What the marker files of a folder say, by their numbers."""
+        fs, at = self._fs(f"{self.root}/{folder}")
+        out, read = {}, self.spark._jvm.org.apache.commons.io.IOUtils.toString
+        for f in fs.listStatus(at) if fs.exists(at) else ():
+            name = f.getPath().getName()
+            if name.isdigit():
+                stream = fs.open(f.getPath())
+                out[int(name)] = read(stream, "UTF-8")
+                stream.close()
+        return dict(sorted(out.items()))
+
+    def _mark(self, folder: str, number: int, text: str) -> bool:
+        """Write a marker file; False if there is one of that number."""
+        fs, at = self._fs(f"{self.root}/{folder}/{number:08d}")
+        if fs.exists(at):
+            return False
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError as e:
+            if "Exist" in e.java_exception.getClass().getSimpleName():
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def committed(self) -> list[str]:
         """Ids of the committed batches in their order."""
-        fs, at = self._fs(f"{self.root}/markers")
-        if not fs.exists(at):
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(at)]
-        return [n.split("-", 1)[1] for n in sorted(names) if not n.startswith(("_", "."))]
-
-    def _read(self, kind: str, schema: str, batches: list[str]) -> DataFrame:
-        paths = [f"{self.root}/{kind}/{b}" for b in batches]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def ledger(self) -> DataFrame:
-        """The current count of each document and tokenizer, and whether it is deleted."""
-        rows = self._read("ledger", LEDGER, self.committed())
+        return list(self._marked("markers").values())
+
+    def _parts(self, kind: str, done: list[str]) -> list[str]:
+        """Folders of a kind that make up the state after the batches `done`: the last compact one, and the batches since."""
+        whole = max(self._marked("compact"), default=0)
+        head = [f"{self.root}/{kind}/batch=compact-{whole:08d}"] if whole else []
+        return [*head, *(f"{self.root}/{kind}/batch={b}" for b in done[whole:])]
+
+    def _read(self, kind: str, schema: str, done: list[str]) -> DataFrame:
+        paths = self._parts(kind, done)
+        return self.spark.read.option("basePath", f"{self.root}/{kind}").schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write_ledger(self, rows: DataFrame, batch: str) -> None:
+        held = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).repartition("bucket")
+        held.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/ledger/batch={batch}")
+
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """The current count of each document and tokenizer (of some buckets), and whether it is deleted."""
+        rows = self._read("ledger", f"{LEDGER}, batch string, bucket int", self.committed())
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
         newest = F.struct("batch_no", "source", "lang", "n_tokens", "deleted")
         last = rows.groupBy("doc_id", "tokenizer").agg(F.max(newest).alias("x"))
         return last.select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens", "x.deleted")
 
+    def compact(self) -> None:
+        """Write the ledger and totals as they are as one batch, which is read instead of those that it sums up."""
+        done = self.committed()
+        if not done or len(done) in self._marked("compact"):
+            return
+        batch, names = f"compact-{len(done):08d}", [c.split()[0] for c in LEDGER.split(", ")]
+        self._write_ledger(self.ledger().where("not deleted").withColumn("batch_no", F.lit(len(done) - 1).cast("long")).select(*names), batch)
+        totals = self.totals().select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
+        totals.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
+        self._mark("compact", len(done), batch)
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Commit changes(doc_id, source, lang, tokenizer, n_tokens, op) as the batch; False if it is there already.
 
@@ -79,8 +130,8 @@ class Rollup:
         batch a delete wins, then the greatest count. A null count is 0. Deleting what isn't there changes
         nothing. Null sources and languages are keys of their own. An empty batch is committed as such.
         """
-        if not batch or "/" in batch:
-            raise ValueError("a batch needs an id without slashes")
+        if not batch or "/" in batch or batch.startswith("compact-"):
+            raise ValueError("a batch needs an id without slashes that doesn't begin with compact-")
         done = self.committed()
         if batch in done:
             return False
@@ -88,20 +139,20 @@ class Rollup:
             raise ValueError("op must be upsert or delete")
         rows = changes.where("doc_id is not null and tokenizer is not null").select("doc_id", "tokenizer", F.struct((F.col("op") == "delete").alias("deleted"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "source", "lang").alias("x"))
         new = rows.groupBy("doc_id", "tokenizer").agg(F.max("x").alias("x")).select("doc_id", "tokenizer", F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.n_tokens").alias("n_tokens"), F.lit(len(done)).cast("long").alias("batch_no"), F.col("x.deleted").alias("deleted"))
-        fresh = f"{self.root}/ledger/{batch}"
-        new.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").option("compression", "zstd").parquet(fresh)
-        new = self.spark.read.schema(LEDGER).parquet(fresh)
-        old = self.ledger().where("not deleted").join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        self._write_ledger(new.select(*[c.split()[0] for c in LEDGER.split(", ")]), batch)
+        new = self.spark.read.schema(f"{LEDGER}, bucket int").parquet(f"{self.root}/ledger/batch={batch}")
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+        old = self.ledger(touched).where("not deleted").join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
         signed = new.where("not deleted").select(*KEYS, F.lit(1).alias("d_docs"), F.col("n_tokens").alias("d_tokens")).unionByName(old.select(*KEYS, F.lit(-1).alias("d_docs"), (-F.col("n_tokens")).alias("d_tokens")))
         deltas = signed.groupBy(*KEYS).agg(F.sum("d_docs").cast("long").alias("d_docs"), F.sum("d_tokens").cast("long").alias("d_tokens")).where("d_docs <> 0 or d_tokens <> 0")
-        deltas.write.mode("overwrite").parquet(f"{self.root}/deltas/{batch}")
-        fs, at = self._fs(f"{self.root}/markers/{len(done):08d}-{batch}")
-        fs.create(at, True).close()
+        deltas.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
+        if not self._mark("markers", len(done), batch):
+            raise RuntimeError(f"another batch was committed meanwhile; commit {batch!r} again")
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of the keys that have documents."""
-        deltas = self._read("deltas", DELTAS, self.committed())
+        deltas = self._read("deltas", f"{DELTAS}, batch string", self.committed())
         return deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 

@@ -135,6 +135,10 @@ def test_rollup_against_replay(spark, tmp_path):
         assert rollup.commit(f"b{b}", changes)
         assert not rollup.commit(f"b{b}", changes.limit(3))
         assert sorted(map(tuple, rollup.totals().collect()), key=repr) == brute(state)
+        if b == 2:  # the batches so far as one; later ones go on from it
+            rollup.compact()
+            rollup.compact()
+            assert sorted(map(tuple, rollup.totals().collect()), key=repr) == brute(state)
     assert rollup.committed() == [f"b{b}" for b in range(5)]
     rollup.commit("empty", spark.createDataFrame([], kind))
     rollup.commit("odd", spark.createDataFrame([(None, "a", "en", "v1", 5, "upsert"), (99, "z", "en", "v1", None, "upsert"), (98, "z", "en", "v1", 4, "upsert"), (98, "z", "en", "v1", 4, "delete"), (98, "z", "en", "v1", 9, "upsert")], kind))
@@ -151,12 +155,23 @@ def test_interrupted_batch_is_not_read(spark, tmp_path):
     one = spark.createDataFrame([(1, "a", "en", "v1", 5, "upsert")], kind)
     rollup.commit("x", one)
     for part in ("ledger", "deltas"):  # a batch that got this far and no marker
-        spark.read.parquet(str(tmp_path / "r" / part / "x")).write.parquet(str(tmp_path / "r" / part / "y"))
+        spark.read.parquet(str(tmp_path / "r" / part / "batch=x")).write.parquet(str(tmp_path / "r" / part / "batch=y"))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 5)]
     rollup.commit("y", spark.createDataFrame([(2, "a", "en", "v1", 7, "upsert")], kind))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 12)]
 
 
+def test_of_two_writers_one_fails(spark, tmp_path):
+    rollup = tokencounts.Rollup(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([(1, "a", "en", "v1", 5, "upsert")], "doc_id long, source string, lang string, tokenizer string, n_tokens long, op string")
+    assert rollup._mark("markers", 0, "theirs") and not rollup._mark("markers", 0, "ours") and rollup.committed() == ["theirs"]
+    late = tokencounts.Rollup(spark, str(tmp_path / "s"))
+    late.committed = lambda: []  # saw the state before another's batch
+    late._mark("markers", 0, "theirs")
+    with pytest.raises(RuntimeError):
+        late.commit("ours", one)
+
+
 def test_counts_query(spark, slow, tmp_path):
     rows = [(1, "Hello there"), (2, None), (3, ""), (4, "x" * 50)]
     df = frame(spark, rows, "n_tokens")
