@@ -39,16 +39,16 @@ CLOSES_P = frozenset(BLOCK) - {"#text", "td", "th", "tr", "thead", "tbody", "tfo
 #: Starting one of these ends an open one of its set, unless one of the bounds is between.
 SIBLINGS = {t: (frozenset(a.split()), frozenset(b.split())) for ts, a, b in (("li", "li", "ul ol menu"), ("dt dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td th", "td th", "table tr"), ("thead tbody tfoot", "thead tbody tfoot tr td th caption", "table")) for t in ts.split()}
 TOKENS = [frozenset(x.split()) for x in (
-    "article content post entry main story text body articlebody prose reading maincontent contentinfo2 page blog news",
+    "article content post entry main story text body articlebody prose reading maincontent page blog news",
     "nav navbar menu navigation breadcrumb breadcrumbs crumbs toc pagination pager topnav tabs skip",
-    "header masthead banner logo branding sitehead topbar hero2 siteheader pagehead",
+    "header masthead banner logo branding sitehead topbar siteheader pagehead",
     "footer foot copyright legal colophon sitefooter bottom contentinfo credits imprint",
-    "sidebar side aside widget related recommended rail complementary popular trending more secondary teaser promo2",
-    "ad ads advert advertisement adsbox sponsor sponsored promo promotion adslot banner2 dfp taboola outbrain affiliate",
+    "sidebar side aside widget related recommended rail complementary popular trending more secondary teaser",
+    "ad ads advert advertisement adsbox sponsor sponsored promo promotion adslot dfp taboola outbrain affiliate",
     "comment comments reply replies discussion disqus respond commentlist thread reader feedback",
-    "cookie cookies consent notice gdpr alert popup modal overlay newsletter subscribe signup paywall banner3 dialog announcement",
+    "cookie cookies consent notice gdpr alert popup modal overlay newsletter subscribe signup paywall dialog announcement",
     "form login search contact register searchform signin searchbox",
-    "share social sharing tweet facebook follow tags tag byline meta2 author print tools toolbar",
+    "share social sharing tweet facebook follow tags tag byline author print tools toolbar",
     "hidden hide sr only none invisible",
 )]
 TAG = re.compile(r"<(?:!--|/?[a-zA-Z]|[!?/])")

@@ -31,6 +31,9 @@ DECAY, SPAN = 0.7, 5
 LANDMARKS = 128
 #: Bound of the labelled sample: about so many toxic and clean texts, by a hash of their ids, and words of each.
 TOXIC, CLEAN, WORDS = 1500, 3000, 4000
+#: Bounds of what is learnt from the sample's words: positive cases, clean words drawn and hardest clean words, words that
+#: landmarks are spread over, and a word's bytes (longer ones are scored, but not learnt from).
+POSITIVE, NEGATIVE, HARDEST, POOL, LONGEST = 1500, 3000, 600, 600, 200
 CHUNK = 1 << 21
 CACHE = 1 << 18
 #: Decisions are cut off below this; the WORST highest of a text count, beside its length.
@@ -268,10 +271,10 @@ def _train(words: pa.Array, first: np.ndarray, toxic: np.ndarray, lengths: np.nd
         pos = np.array(sorted(i for i in chosen if telling[i]), np.int64)
         if not len(pos) or not len(negative):
             return None
-        if len(pos) > 1500:
-            pos = rng.permutation(pos)[:1500]
-        hard = negative[np.argsort(-f[negative], kind="stable")[:600]] if weights is not None else negative[:0]
-        neg = np.unique(np.concatenate((hard, rng.permutation(negative)[:3000])))
+        if len(pos) > POSITIVE:
+            pos = rng.permutation(pos)[:POSITIVE]
+        hard = negative[np.argsort(-f[negative], kind="stable")[:HARDEST]] if weights is not None else negative[:0]
+        neg = np.unique(np.concatenate((hard, rng.permutation(negative)[:NEGATIVE])))
         marks = [vocabulary[i] for i in np.concatenate((_spread(vocabulary, pos, LANDMARKS * 3 // 4, rng), rng.permutation(neg)[: LANDMARKS // 4]))]
         cases = [vocabulary[i] for i in pos] + [gapped(vocabulary[i], rng) for i in pos] + [vocabulary[i] for i in neg]
         val, vec = np.linalg.eigh(kernel(marks, marks))
@@ -308,7 +311,7 @@ def gapped(word: bytes, rng: np.random.Generator) -> bytes:
 
 def _spread(vocabulary: list[bytes], pool: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     """Up to size words of the pool, each the least like those before."""
-    pool = rng.permutation(pool)[:600]
+    pool = rng.permutation(pool)[:POOL]
     words = [vocabulary[i] for i in pool]
     alike = kernel(words, words)
     picked, near = [0], alike[0].copy()
@@ -321,10 +324,12 @@ def _spread(vocabulary: list[bytes], pool: np.ndarray, size: int, rng: np.random
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC, clean: int = CLEAN) -> Scorer | None:
     """A scorer from a bounded, hash-chosen sample of the labelled documents; None unless both labels occur.
 
-    Null labels are left out; a document with several labels is toxic if one says so.
+    Bounds: about `toxic` and `clean` documents, of each text WORDS distinct words chosen by hash over the whole text, and
+    those named beside them. Null labels and ids are left out; a document with several labels is toxic if one says
+    so. Rows of docs that repeat an id are cases of their own.
     """
     session_of(docs)
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).alias("__toxic"))
+    marks = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.max(f"`{label_col}`").alias("__toxic"))
     sizes = {r["__toxic"]: r["count"] for r in marks.groupBy("__toxic").count().collect()}
     share = {t: min(1.0, (toxic if t else clean) / n) for t, n in sizes.items()}
     level = F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) / 1_000_003.0
@@ -339,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             _, i, n = np.unique(h, return_index=True, return_counts=True)
             lengths.append(len(h))
             i = np.repeat(i[:WORDS], np.minimum(n[:WORDS], WORST))  # by hash, so of all parts of the text
-            out.append([data[x:y].tobytes().lower() for x, y in zip(s[i], e[i], strict=True) if y - x <= 200])
+            out.append([data[x:y].tobytes().lower() for x, y in zip(s[i], e[i], strict=True) if y - x <= LONGEST])
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(lengths, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["id", "toxic", "n", "words"])
 
     found = over_batches(rows, distinct, T.StructType([T.StructField("id", rows.schema["__id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType()))])).toArrow()
@@ -355,7 +360,8 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, text_col: str = "text
     """docs (or its columns `keep`) with toxicity, 0 to 1; no shuffle.
 
     Null and wordless texts score as texts without a telling word; without a scorer every text scores 0. Rows are
-    judged one by one; a column of docs named toxicity is replaced. An empty table gives an empty table.
+    judged one by one, repeated ones alike; a column of docs named toxicity is replaced. An empty table gives an empty table.
+    Texts may be of any length. Letters beyond Latin are known by their last byte modulo 32.
     """
     spark = session_of(docs)
     shared = spark.sparkContext.broadcast(scorer)

@@ -42,6 +42,18 @@ def test_language_edges(spark, tongues):
     assert langid.fit(odd.limit(0)) is None and {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_rejects_what_none_speaks(spark, tongues):
+    """Random letters, encoded bytes, another script, another tongue and one word over and over; members of any length stay."""
+    model, rng = langid.fit(tongues), random.Random(3)
+    odd = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n)) for n in (60, 300)]
+    odd += [bytes(rng.randrange(256) for _ in range(200)).hex(), "Все счастливые семьи похожи друг на друга, каждая несчастлива по-своему. " * 4]
+    odd += ["Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 4, "lorem " * 300]
+    own = [tongue(rng, lang, n) for lang in ("en", "de", "el") for n in (30, 120, 600)]
+    got = {r["doc_id"]: r["lang_rejected"] for r in langid.identify(frame(spark, list(enumerate(odd + own))), model).collect()}
+    assert [got[k] for k in range(len(odd))] == [True] * len(odd)
+    assert not any(got[len(odd) + k] for k in range(len(own)))
+
+
 def test_ngram_counts_do_not_depend_on_company():
     import pyarrow as pa
 
