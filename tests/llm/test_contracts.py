@@ -204,7 +204,7 @@ def test_operators_bear_clashing_names(spark):
 def test_samples_of_rows_without_ids_stay_bounded(spark, monkeypatch):
     """Repeated texts without ids are one case of a sample, or as many as it is large."""
     some = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("to ann.bell@mail.example.com again and again").alias("text"), F.lit("en").alias("lang"))
-    assert langid.fit(some, sample=20).langs == ["en"]
+    assert set(langid.fit(some, sample=20).langs) == {"en"}
     # all rows share the hash of their text: as one case they are in the sample of personal data, or not, together
     monkeypatch.setattr(pii.Tagger, "learn", lambda self, x, y, **k: sizes.append(len(x)))
     sizes = []
