@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,35 @@ class Selection:
     single: bool
 
 
+class EventView(dict):
+    """An event as a dict of its columns; banks that it lacks are None."""
+
+    @property
+    def tag(self) -> int:
+        return self["event_tag"]
+
+    def has(self, bank: str) -> bool:
+        return self.get(bank) is not None
+
+    def structures(self) -> list[str]:
+        """The banks that are there, with rows or without."""
+        return [n for n, v in self.items() if n not in datasource.FIXED and v is not None]
+
+    def bank(self, name: str) -> list[dict]:
+        """The bank's rows; a KeyError if the chain has no such bank, a LookupError if the event lacks it."""
+        rows = self[name]
+        if rows is None:
+            raise LookupError(f"event {self['event_id']} has no {name!r}")
+        return rows
+
+    def size(self, bank: str) -> int:
+        """The bank's rows in number, 0 if the event lacks it."""
+        return len(self[bank] or ())
+
+    def column(self, bank: str, name: str) -> list:
+        return [r[name] for r in self.bank(bank)]
+
+
 class EventChain:
     """One stream of events; open() reads containers, from_frame() takes any event frame."""
 
@@ -139,8 +168,11 @@ class EventChain:
     def typenames(self) -> dict[str, str]:
         return {f"{b.name}/{c.name}": c.type_text for b in self.dictionary for c in b.columns}
 
-    def show(self) -> str:
-        return "\n".join(b.to_text() for b in self.dictionary.sorted())
+    def show(self, limit: int | None = 8) -> str:
+        """The schemas, by group and item; beyond `limit` (None: all) only how many more there are."""
+        lines = [b.to_text() for b in self.dictionary.sorted()]
+        more = 0 if limit is None else max(0, len(lines) - limit)
+        return "\n".join([*lines[: len(lines) - more], *([f"... {more} more"] if more else [])])
 
     def records(self) -> list[batches.RecordRow]:
         """The record table: from headers for containers, by one aggregation otherwise."""
@@ -325,10 +357,10 @@ class EventChain:
     def event_tags(self, entry_start: int | None = None, entry_stop: int | None = None) -> DataFrame:
         return self._events({}, entry_start, entry_stop).select("event_id", "event_tag")
 
-    def event(self, index: int) -> dict | None:
+    def event(self, index: int) -> EventView | None:
         """One event by its index before any filter; None beyond the end."""
         row = self._with(spec=FilterSpec())._events(None, index, index + 1).first()
-        return row.asDict(recursive=True) if row else None
+        return EventView(row.asDict(recursive=True)) if row else None
 
     def events(self) -> Iterator[dict]:
         """All surviving events in order, a partition at a time."""
@@ -351,6 +383,31 @@ class EventChain:
         rows = [(r.file_index, r.file_path, r.first, r.events, r.bytes) for r in self.records()]
         return self.spark.createDataFrame(rows, "file_index int, file_path string, first long, events long, bytes long")
 
+    def record_decompressed_sizes(self) -> DataFrame:
+        """file_index, record_index and the bytes that each record takes once inflated, from the records' headers alone."""
+        if self.infos is None:
+            raise ValueError("this chain isn't of containers")
+        rows = [(k, n, i.path, s.position) for k, i in enumerate(self.infos) for n, s in enumerate(i.spans)]
+        spans = self.spark.createDataFrame(rows, "file_index int, record_index int, path string, position long")
+        return spans.repartition("path").sortWithinPartitions("path", "position").mapInArrow(datasource.inflated_sizes, "file_index int, record_index int, bytes long")
+
+    def offsets(self, bank: str, column: str) -> DataFrame:
+        """event_id, rows and offset_end of every event: the bank's rows up to its end, over all surviving events.
+
+        Rows add up within records first; of records and files only sums go on to the next window, so no window has
+        more rows than a record has events, a file records, or the chain files.
+        """
+        self.dictionary[bank].column(column)
+        df = self._events({bank: [column]}).select("event_id", "file_index", "record_index", jagged.counts(bank, column).alias("rows"))
+        up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inner = df.withColumn("inside", F.sum("rows").over(up_to(Window.partitionBy("file_index", "record_index").orderBy("event_id"))))
+        records = df.groupBy("file_index", "record_index").agg(F.sum("rows").alias("n"))
+        files = records.groupBy("file_index").agg(F.sum("n").alias("n"))
+        files = files.select("file_index", (F.sum("n").over(up_to(Window.orderBy("file_index"))) - F.col("n")).alias("before_file"))
+        sums = records.withColumn("before", F.sum("n").over(up_to(Window.partitionBy("file_index").orderBy("record_index"))) - F.col("n"))
+        before = sums.join(files, "file_index").select("file_index", "record_index", (F.col("before") + F.col("before_file")).alias("before"))
+        return inner.join(before, ["file_index", "record_index"]).select("event_id", "rows", (F.col("inside") + F.col("before")).alias("offset_end"))
+
     def scan_rate(self, banks=None) -> float:
         """Thousands of events a second that a full read of the banks gives."""
         import time
@@ -384,8 +441,11 @@ class EventChain:
     def chunks(self, step: int | str, entry_start: int | None = None, entry_stop: int | None = None) -> list[batches.Chunk]:
         return batches.plan(self.records(), step, entry_start, entry_stop)
 
-    def iterate(self, step: int | str, banks=None, columns=None, filter_name=None, entry_start=None, entry_stop=None, cut=None) -> Iterator[tuple[pa.Table, batches.Chunk]]:
-        return batches.iterate(self.arrays(banks, columns, filter_name, entry_start, entry_stop, cut=cut), self.chunks(step, entry_start, entry_stop))
+    def iterate(self, step: int | str, banks=None, columns=None, filter_name=None, entry_start=None, entry_stop=None, cut=None, ahead: int = 0) -> Iterator[tuple[pa.Table, batches.Chunk]]:
+        """Chunks in event order, each read by itself, so that only its records are; `ahead` more are read meanwhile."""
+        read = lambda c: self.arrays(banks, columns, filter_name, c.start, c.stop, cut=cut)
+        self.select(banks, columns, filter_name)
+        return batches.iterate(read, self.chunks(step, entry_start, entry_stop), ahead)
 
     def map_reduce(self, fn, reduce, step: int | str, banks=None, columns=None, filter_name=None, entry_start=None, entry_stop=None, cut=None, **initial: Any) -> Any:
         df = self.arrays(banks, columns, filter_name, entry_start, entry_stop, cut=cut)
@@ -399,7 +459,8 @@ class EventChain:
 
     def for_each(self, fn, banks=None, columns=None) -> dict[str, int]:
         stats = batches.for_each(self.arrays(banks, columns), fn)
-        return {"events_in": self.num_entries, "events_yielded": stats["events"], "partitions": stats["partitions"]}
+        spans = len(self.infos) and sum(len(i.spans) for i in self.infos) if self.infos is not None else self._df.select("file_index", "record_index").distinct().count()
+        return {"events_in": self.num_entries, "events_yielded": stats["events"], "records": spans, "files": len(self.files), "partitions": stats["partitions"], "elapsed": stats["elapsed"]}
 
     # ---- writing
 

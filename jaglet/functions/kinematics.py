@@ -111,6 +111,32 @@ def missing_mass2(beam: float, seen: Vector, target: float = PROTON) -> Column:
     return rest.mass2
 
 
+def sidis(electron: Vector, hadron: Vector, beam: float) -> dict[str, Column]:
+    """z, the hadron's share of the energy that the electron lost, and pt, its momentum across the virtual photon.
+
+    NULL without a hadron or an electron; the beam runs along z, massless.
+    """
+    photon = Vector(-electron.px, -electron.py, F.lit(float(beam)) - electron.pz)
+    along = Vector(hadron.px, hadron.py, hadron.pz).dot(photon) / F.nullif(photon.p, F.lit(0.0))
+    across = hadron.p * hadron.p - along * along
+    return {"z": hadron.energy / F.nullif(F.lit(float(beam)) - electron.energy, F.lit(0.0)), "pt": F.sqrt(F.when(across >= 0, across).when(across < 0, F.lit(0.0)))}
+
+
+def fiducial(row: Column, least: dict[str, float] | None = None, most: dict[str, float] | None = None) -> Column:
+    """Whether a row lies within the bounds, themselves excluded; false without the row or a bounded value."""
+    inside = F.lit(True)
+    for n, v in (least or {}).items():
+        inside = inside & (row[n] > v)
+    for n, v in (most or {}).items():
+        inside = inside & (row[n] < v)
+    return F.coalesce(inside, F.lit(False))
+
+
+def corrected(rows: Column, names: list[str], scale, momentum: tuple[str, str, str] = ("px", "py", "pz")) -> Column:
+    """Rows (columns `names`) whose momenta are multiplied by scale(row), a correction made before anything is derived."""
+    return F.transform(rows, lambda r: F.struct(*[(r[n] * scale(r) if n in momentum else r[n]).alias(n) for n in names]))
+
+
 def region(status: Column) -> Column:
     """Detector region of a status word: its absolute value's thousands."""
     return F.floor(F.abs(status) / 1000).cast("long")

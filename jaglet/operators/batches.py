@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import functools
 import re
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -108,10 +111,32 @@ def chunked(df: DataFrame, chunks: list[Chunk]) -> DataFrame:
     return df.join(table, own).drop("c_start", "c_stop", "c_stretch")
 
 
-def iterate(df: DataFrame, chunks: list[Chunk]) -> Iterator[tuple[pa.Table, Chunk]]:
-    """Each chunk's events in order, and what it covers; the driver holds one chunk at a time."""
-    for c in chunks:
-        yield df.where((F.col("event_id") >= c.start) & (F.col("event_id") < c.stop)).orderBy("event_id").toArrow(), c
+def iterate(read: Callable[[Chunk], DataFrame], chunks: list[Chunk], ahead: int = 0) -> Iterator[tuple[pa.Table, Chunk]]:
+    """Each chunk's events in order, and what it covers; read(chunk) is the frame of its events alone.
+
+    With `ahead`, the jobs of so many further chunks run meanwhile; the order stays. The driver holds these chunks.
+    """
+    get = lambda c: read(c).orderBy("event_id").toArrow()
+    if ahead < 0:
+        raise ValueError("ahead isn't negative")
+    if not ahead:
+        for c in chunks:
+            yield get(c), c
+        return
+    with ThreadPoolExecutor(ahead + 1) as pool:
+        flying: deque = deque()
+        try:
+            for c in chunks:
+                flying.append((pool.submit(get, c), c))
+                if len(flying) > ahead:
+                    job, done = flying.popleft()
+                    yield job.result(), done
+            while flying:
+                job, done = flying.popleft()
+                yield job.result(), done
+        finally:
+            for job, _ in flying:
+                job.cancel()
 
 
 def map_chunks(df: DataFrame, chunks: list[Chunk], fn: Callable[[pa.Table], Any]) -> DataFrame:
@@ -161,8 +186,9 @@ def fold(df: DataFrame, acc: Any, step: Callable[[Any, dict], Any]) -> Any:
     return acc
 
 
-def for_each(df: DataFrame, fn: Callable[[dict], None]) -> dict[str, int]:
-    """fn on every event, on executors, for what it does; how many events and partitions it saw."""
+def for_each(df: DataFrame, fn: Callable[[dict], None]) -> dict[str, float]:
+    """fn on every event, on executors, for what it does; how many events and partitions it saw, and the seconds."""
+    started = time.perf_counter()
     sc = df.sparkSession.sparkContext
     events, parts = sc.accumulator(0), sc.accumulator(0)
 
@@ -175,4 +201,4 @@ def for_each(df: DataFrame, fn: Callable[[dict], None]) -> dict[str, int]:
         parts.add(1)
 
     df.foreachPartition(run)
-    return {"events": events.value, "partitions": parts.value}
+    return {"events": events.value, "partitions": parts.value, "elapsed": time.perf_counter() - started}

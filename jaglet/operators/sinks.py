@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import dataclasses
 import json
 import re
+import threading
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +31,9 @@ class Summary:
     kept: tuple[str, ...]
     dropped_structures: int = 0
     dangling: tuple[str, ...] = ()
+    files: int = 0
+    bytes: int = 0
+    records: int | None = None  # of containers
 
 
 def write(df: DataFrame, path: str, format: str = "parquet", dictionary: Dictionary | None = None, registry=None, config=None, compression: str | None = None, mode: str = "errorifexists", **options: Any) -> None:
@@ -60,8 +67,12 @@ def read_frame(spark, path: str) -> EventChain:
     return chain
 
 
-def skim(chain: EventChain, path: str, tags: Column | None = None, banks: list[str] | None = None, dictionary: Dictionary | None = None, registry=None, **options: Any) -> Summary:
-    """Copy the surviving events. Event tags stay, or become `tags` (then the names of tags go); record tags become 0."""
+def skim(chain: EventChain, path: str, tags: Column | None = None, banks: list[str] | None = None, dictionary: Dictionary | None = None, registry=None, progress=None, **options: Any) -> Summary:
+    """Copy the surviving events. Event tags stay, or become `tags` (then the names of tags go); record tags become 0.
+
+    Events are counted while they are written. progress(done, total) is called with the tasks of the write, about once a
+    second while it runs and once at its end.
+    """
     names = chain.dictionary.names() if banks is None else banks
     df = chain._events({n: chain.columns(n) for n in names}).withColumn("record_tag", F.lit(0).cast("long"))
     if tags is not None:
@@ -70,9 +81,44 @@ def skim(chain: EventChain, path: str, tags: Column | None = None, banks: list[s
         if bad:
             raise ValueError("tags are 0 to 2**32-1 for every event")
     kept = registry if tags is not None else chain.registry
-    events = df.count()
-    write(df.select(*datasource.FIXED, *[f"`{n}`" for n in names]), path, dictionary=dictionary or Dictionary(chain.dictionary[n] for n in names), registry=kept, config=chain.config, **options)
-    return Summary(events, tuple(names))
+    seen = Observation()
+    counted = df.select(*datasource.FIXED, *[f"`{n}`" for n in names]).observe(seen, F.count(F.lit(1)).alias("events"))
+    with _watched(chain.spark, progress):
+        write(counted, path, dictionary=dictionary or Dictionary(chain.dictionary[n] for n in names), registry=kept, config=chain.config, **options)
+    files, size = chain.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    records = sum(len(i.spans) for i in datasource.open_files(datasource.resolve(path))) if options.get("format") == datasource.FORMAT else None
+    return Summary(seen.get.get("events", 0), tuple(names), files=files, bytes=size, records=records)
+
+
+@contextlib.contextmanager
+def _watched(spark, progress):
+    """Calls progress(done, total) with the tasks of this thread's jobs while the block runs, and once behind it."""
+    if progress is None:
+        yield
+        return
+    sc, group, over, last = spark.sparkContext, f"skim-{uuid.uuid4().hex}", threading.Event(), [0, 0]
+    sc.setJobGroup(group, "skim")
+    tracker = sc.statusTracker()
+
+    def look():
+        stages = {s for j in tracker.getJobIdsForGroup(group) if (job := tracker.getJobInfo(j)) for s in job.stageIds}
+        infos = [i for i in map(tracker.getStageInfo, stages) if i]
+        last[:] = sum(i.numCompletedTasks for i in infos), max(last[1], sum(i.numTasks for i in infos))
+        progress(*last)
+
+    def watch():
+        while not over.wait(1):
+            look()
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+        look()
+        sc._jsc.clearJobGroup()
 
 
 def dangling(dictionary: Dictionary, kept: Iterable[str], index: str = "pindex") -> list[str]:
@@ -96,7 +142,7 @@ def skim_banks(chain: EventChain, path: str, patterns: str | Iterable[str], prun
         held = chain._events({n: [chain.columns(n)[0]] for n in gone})
         dropped = held.agg(sum((F.count(F.col(f"`{n}`")) for n in gone[1:]), F.count(F.col(f"`{gone[0]}`")))).first()[0]
     done = skim(chain, path, banks=kept, dictionary=Dictionary(chain.dictionary[n] for n in kept) if prune_dictionary else chain.dictionary, registry=chain.registry, **options)
-    return Summary(done.events, tuple(kept), int(dropped), tuple(dangling(chain.dictionary, kept)))
+    return dataclasses.replace(done, dropped_structures=int(dropped), dangling=tuple(dangling(chain.dictionary, kept)))
 
 
 def retag(chain: EventChain, updates: DataFrame) -> EventChain:

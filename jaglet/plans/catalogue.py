@@ -142,8 +142,8 @@ def event_tags(spark, d):
 
 @query("SELECT ev.event_id, ev.event_tag, count(part.event_id) AS n FROM ev LEFT JOIN part USING (event_id) WHERE event_id = 123 GROUP BY 1, 2")
 def point_lookup(spark, d):
-    df = chain(spark, d, "Particle")._df.where("event_id = 123")
-    return df.select("event_id", "event_tag", jagged.counts("Particle", "pid").alias("n"))
+    e = chain(spark, d, "Particle").event(123)
+    return spark.createDataFrame([(e["event_id"], e.tag, e.size("Particle"))] if e else [], "event_id long, event_tag long, n long")
 
 
 @query("SELECT event_id, row_idx, px, energy FROM part")
@@ -281,17 +281,7 @@ def local_index(spark, d):
 
 @query("SELECT event_id, count(part.row_idx) AS rows, CAST(sum(count(part.row_idx)) OVER (ORDER BY event_id) AS BIGINT) AS offset_end FROM ev LEFT JOIN part USING (event_id) GROUP BY 1")
 def offsets(spark, d):
-    """Offsets of a column's rows over all events: prefix sums within records, plus those of the record table."""
-    from pyspark.sql import Window
-
-    df = chain(spark, d, "Particle")._events({"Particle": ["pid"]}).select("event_id", "file_index", "record_index", jagged.counts("Particle", "pid").alias("rows"))
-    record = ["file_index", "record_index"]
-    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    files = df.groupBy("file_index").agg(F.sum("rows").alias("n"))
-    files = files.select("file_index", (F.sum("n").over(up_to(Window.orderBy("file_index"))) - F.col("n")).alias("before_file"))
-    sums = df.groupBy(*record).agg(F.sum("rows").alias("n")).withColumn("before", F.sum("n").over(up_to(Window.partitionBy("file_index").orderBy("record_index"))) - F.col("n"))
-    inner = df.withColumn("inside", F.sum("rows").over(up_to(Window.partitionBy(*record).orderBy("event_id"))))
-    return inner.join(sums.join(files, "file_index").select(*record, "before", "before_file"), record).select("event_id", "rows", (F.col("inside") + F.col("before") + F.col("before_file")).alias("offset_end"))
+    return chain(spark, d, "Particle").offsets("Particle", "pid")
 
 
 # ---- scalars and physics
@@ -351,6 +341,32 @@ def array_column_sum(spark, d):
     return e.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum(jagged.total(F.col("embedding"))), 3).alias("total"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 3).alias("first"))
 
 
+@query("""WITH e AS (SELECT event_id, px, py, pz, sqrt(px*px+py*py+pz*pz+0.0005109989506900001*0.0005109989506900001) AS en FROM part WHERE pid = 11 AND row_idx = 0),
+h AS (SELECT event_id, arg_max(row(px, py, pz), row(px*px+py*py+pz*pz, -row_idx)) AS r FROM part WHERE pid = 211 GROUP BY 1),
+x AS (SELECT e.event_id, r[1] AS px, r[2] AS py, r[3] AS pz, en, -e.px AS qx, -e.py AS qy, 60.0 - e.pz AS qz FROM e JOIN h USING (event_id))
+SELECT event_id, round(sqrt(px*px+py*py+pz*pz + 0.13957039000000002*0.13957039000000002) / nullif(60.0 - en, 0), 6) AS z,
+round(sqrt(greatest(0, px*px+py*py+pz*pz - ((px*qx+py*qy+pz*qz) / nullif(sqrt(qx*qx+qy*qy+qz*qz), 0))**2)), 4) AS pt FROM x""")
+def sidis_kinematics(spark, d):
+    """z and pT of the leading pion of events whose first row is an electron."""
+    df = chain(spark, d, "Particle").arrays("Particle", ["pid", "px", "py", "pz"])
+    pions = jagged.leading(jagged.keep_rows(F.col("Particle"), lambda r: r["pid"] == 211), lambda r: r["px"] * r["px"] + r["py"] * r["py"] + r["pz"] * r["pz"])
+    df = df.select("event_id", jagged.first(F.col("Particle")).alias("e"), pions["row"].alias("h")).where("e.pid = 11 and h is not null")
+    k = K.sidis(K.to_vector(F.col("e"), pdg_mass(F.col("e.pid"))), K.to_vector(F.col("h"), pdg_mass(F.col("h.pid"))), BEAM)
+    return df.select("event_id", F.round(k["z"], 6).alias("z"), F.round(k["pt"], 4).alias("pt"))
+
+
+@query("""WITH c AS (SELECT event_id, min_by(energy, row_idx) AS energy FROM part WHERE pindex = 0 AND layer = 1 GROUP BY 1)
+SELECT p.event_id, round(sqrt(px*px + py*py) * 1.5, 6) AS pt FROM part p JOIN c USING (event_id) WHERE p.row_idx = 0 AND p.pid = 11 AND c.energy > 9000 AND c.energy < 60000""")
+def fiducial_electrons(spark, d):
+    """Corrected transverse momentum of first electrons whose first cluster of a layer lies within bounds."""
+    df = chain(spark, d).arrays(["Particle", "Calo"])
+    cluster = jagged.first(jagged.keep_rows(F.col("Calo"), lambda r: (r["pindex"] == 0) & (r["layer"] == 1)))
+    names = ["pid", "px", "py", "pz"]
+    lead = jagged.first(K.corrected(F.col("Particle"), names, lambda r: F.when(r["pid"] == 11, 1.5).otherwise(1.0)))
+    kept = df.select("event_id", lead.alias("e"), cluster.alias("c")).where(K.fiducial(F.col("c"), {"energy": 9000.0}, {"energy": 60000.0}) & (F.col("e.pid") == 11))
+    return kept.select("event_id", F.round(K.to_vector(F.col("e")).pt, 6).alias("pt"))
+
+
 # ---- writing and reading again
 
 
@@ -383,11 +399,14 @@ def skim_banks_dropped(spark, d):
     return back._df.agg(F.count("*").alias("events")).withColumns({"dropped": F.lit(s.dropped_structures).cast("long"), "kept": F.lit(",".join(back))})
 
 
-@query("SELECT event_id, event_tag, file_index::INTEGER AS file_index FROM ev UNION ALL SELECT event_id + (SELECT max(event_id) + 1 FROM ev), event_tag, (file_index + (SELECT max(file_index) + 1 FROM ev))::INTEGER FROM ev")
+@query("""WITH n AS (SELECT event_id, count(*) AS n FROM part GROUP BY 1)
+SELECT ev.event_id, event_tag, file_index::INTEGER AS file_index, coalesce(n, 0) AS particles, 0::BIGINT AS rows, n IS NOT NULL AS has_particles, false AS has_rows FROM ev LEFT JOIN n USING (event_id) UNION ALL
+SELECT ev.event_id + (SELECT max(event_id) + 1 FROM ev), event_tag, (file_index + (SELECT max(file_index) + 1 FROM ev))::INTEGER, 0, coalesce(n, 0), false, n IS NOT NULL FROM ev LEFT JOIN n USING (event_id)""")
 def chain_union(spark, d):
-    """Two chains as one: ids and files of the second carry on after the first."""
-    a = chain(spark, d, "Particle")
-    return EventChain.concat([a, a])._df.select("event_id", "event_tag", "file_index")
+    """Two chains of different banks as one: dictionaries united, banks absent where they weren't, ids and files carried on."""
+    both = EventChain.concat([chain(spark, d, "Particle"), chain(spark, d, "Calo")])
+    there = {"has_particles": F.col("Particle").isNotNull(), "has_rows": F.col("Calo").isNotNull()}
+    return both._df.select("event_id", "event_tag", "file_index", jagged.counts("Particle", "pid").alias("particles"), jagged.counts("Calo", "layer").alias("rows"), *[c.alias(n) for n, c in there.items()])
 
 
 @query("SELECT file_index * 14 + (event_id % 4000) // 300 AS chunk_key, min(event_id) AS start, max(event_id) + 1 AS stop, count(*) AS n FROM ev GROUP BY 1")
@@ -452,9 +471,13 @@ def container_filtered(spark, d):
 
 @query("SELECT p_partkey % 10 AS f0, count(*) AS n, sum(p_size)::BIGINT AS f1, round(sum(p_retailprice), 2) AS f2 FROM part GROUP BY 1", model=False)
 def composite_fields(spark, d):
-    """Rows without names, by place: f0, f1, f2."""
-    named = table(spark, d, "part").select(F.struct(F.col("p_partkey").cast("int").alias("f0"), F.col("p_size").alias("f1"), F.col("p_retailprice").alias("f2")).alias("r"))
-    return named.groupBy((F.col("r.f0") % 10).cast("long").alias("f0")).agg(F.count("*").alias("n"), F.sum("r.f1").cast("long").alias("f1"), F.round(F.sum("r.f2"), 2).alias("f2"))
+    """Composite banks written to containers and read back by place: f0, f1, f2, without a schema in the dictionary."""
+    row = F.struct(F.col("p_partkey").cast("int").alias("f0"), F.col("p_size").cast("int").alias("f1"), F.col("p_retailprice").cast("double").alias("f2"))
+    df = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("event_id"), F.lit(0).cast("long").alias("event_tag"), F.array(row).alias("Priced"))
+    path = temp(spark, "composites")
+    sinks.write(df, path, format="eventrec", composites='{"Priced": [700, 5]}', compression="lz4+perbank")
+    rows = EventChain.open(spark, path).composite("700/5").select(F.explode("`700/5`").alias("r"))
+    return rows.groupBy((F.col("r.f0") % 10).cast("long").alias("f0")).agg(F.count("*").alias("n"), F.sum("r.f1").cast("long").alias("f1"), F.round(F.sum("r.f2"), 2).alias("f2"))
 
 
 # ---- streams

@@ -530,22 +530,43 @@ def _scan(source, at: int, trailer: int) -> list[RecordSpan]:
     return out
 
 
-def _resync(source, at: int, info: FileInfo) -> list[RecordSpan]:
-    """Records on the 4-byte grid that decode; a trailer isn't one of them."""
-    out, at = [], at - at % 4
+def _candidates(source, at: int, block: int = 1 << 22) -> Iterator[int]:
+    """Places on the 4-byte grid from `at` on whose header bears a magic word; the source is read in blocks."""
+    words = [struct.pack("<I", m) for m in (MAGIC, MAGIC_SWAPPED)]
     while at + HEADER <= source.size:
+        raw = source.read(at + 28, min(block + 3, source.size - at - 28))
+        found = set()
+        for w in words:
+            k = raw.find(w)
+            while k >= 0:
+                if k % 4 == 0 and k < block:
+                    found.add(at + k)
+                k = raw.find(w, k + 1)
+        yield from (x for x in sorted(found) if x + HEADER <= source.size)
+        at += block
+
+
+def _resync(source, at: int, info: FileInfo) -> list[RecordSpan]:
+    """Records on the 4-byte grid that decode; a trailer isn't one of them. What lies within a good record isn't tried."""
+    out, free = [], at - at % 4
+    for at in _candidates(source, free):
+        if at < free:
+            continue
         try:
             header = RecordHeader.parse(source.read(at, HEADER), source.path, at)
             span = RecordSpan(at, header.length, header.events, header.user_word_1, header.user_word_2)
             record = read_record(source, span, info.dictionary)
-            if at and INDEX not in record.ids:
-                if not info.dictionary.names() and DICTIONARY in record.ids:
-                    info.dictionary, info.registry, info.config = _dictionary(source, at)
-                elif DICTIONARY not in record.ids:
-                    out.append(span)
-            at += header.length
         except ContainerError:
-            at += 4
+            continue
+        if at and INDEX not in record.ids:
+            if not info.dictionary.names() and DICTIONARY in record.ids:
+                try:
+                    info.dictionary, info.registry, info.config = _dictionary(source, at)
+                except ContainerError:
+                    continue
+            elif DICTIONARY not in record.ids:
+                out.append(span)
+        free = at + header.length
     return out
 
 

@@ -29,6 +29,7 @@ from jaglet.tags import TagRegistry
 FORMAT = "eventrec"
 FIXED_FIELDS = [T.StructField("event_id", T.LongType()), T.StructField("file_index", T.IntegerType()), T.StructField("file_path", T.StringType()), T.StructField("record_index", T.IntegerType()), T.StructField("record_tag", T.LongType()), T.StructField("event_tag", T.LongType())]
 FIXED = [f.name for f in FIXED_FIELDS]
+_FORMS = {letter: sign for sign, letter in C.COMPOSITE.items()}
 PARTITION_BYTES, FILE_BYTES = 64 << 20, 128 << 20
 
 
@@ -51,6 +52,24 @@ def open_files(paths: list[str], salvage: bool = False) -> list[C.FileInfo]:
         return list(pool.map(one, paths))
 
 
+def inflated_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_index, record_index, bytes) of rows (file_index, record_index, path, position), from the records' headers."""
+    source = None
+    try:
+        for b in batches:
+            sizes = []
+            for path, at in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if source is None or source.path != path:
+                    if source is not None:
+                        source.close()
+                    source = C.FileBytes(path)
+                sizes.append(C.RecordHeader.parse(source.read(at, C.HEADER), path, at).inflated)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["file_index", "record_index", "bytes"])
+    finally:
+        if source is not None:
+            source.close()
+
+
 def selected(dictionary: Dictionary, options: dict[str, str]) -> list[Bank]:
     """The banks and columns that options ask for: banks is a JSON map of names to column lists (null: all)."""
     wanted = json.loads(options["banks"]) if options.get("banks") else {n: None for n in dictionary.names()}
@@ -214,7 +233,11 @@ class ArrowWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
         self.folder, self.overwrite = options["path"].rstrip("/"), overwrite
-        fields = [f for f in schema.fields if f.name not in FIXED]
+        #: column name -> [group, item] of banks that are written as composite ones
+        self.composites = json.loads(options.get("composites", "{}"))
+        places = {f.name: k for k, f in enumerate(schema.fields)}
+        self.forms = {n: "".join(_FORMS[Bank.from_spark(schema.fields[places[n]], *ids).columns[k].letter] for k in range(len(schema.fields[places[n]].dataType.elementType.fields))) for n, ids in self.composites.items()}
+        fields = [f for f in schema.fields if f.name not in FIXED and f.name not in self.composites]
         given = Dictionary.parse(options["dictionary"]) if options.get("dictionary") else None
         self.banks = [given[f.name] if given and f.name in given else Bank.from_spark(f, 20_000 + k // 200, k % 200 + 1) for k, f in enumerate(fields)]
         self.all = given.to_text() if given else Dictionary(self.banks).to_text()
@@ -291,6 +314,10 @@ class ArrowWriter(DataSourceArrowWriter):
                 if valid[e]:
                     s, t = int(at[e]), int(at[e + 1])
                     event.bank(b, {k: v[s:t] for k, v in values.items()}, t - s)
+            for name, ids in self.composites.items():
+                held = batch.column(name)[e]
+                if held.is_valid:
+                    event.composite(*ids, self.forms[name], [tuple(r.values()) for r in held.as_py()])
             w.add(event)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -310,7 +337,8 @@ class ArrowWriter(DataSourceArrowWriter):
 
 class EventRecords(DataSource):
     """Options: path (or paths, a JSON list), banks, composite, salvage, partition_bytes; to select events start, stop,
-    event_tag_any, and JSON lists of require, record_tags and event_tags."""
+    event_tag_any, and JSON lists of require, record_tags and event_tags; to write, composites, a JSON map of columns to
+    [group, item], which are written as composite banks and stay out of the dictionary."""
 
     @classmethod
     def name(cls) -> str:

@@ -33,6 +33,11 @@ class TagSet(int):
     def insert(self, other: int) -> TagSet:
         return TagSet(int(self) | other)
 
+    def __or__(self, other: int) -> TagSet:
+        return self.insert(other)
+
+    __ror__ = __or__
+
     def indices(self) -> list[int]:
         return [i for i in range(32) if self >> i & 1]
 
@@ -91,6 +96,13 @@ class TagRegistry:
         return out
 
 
+def tag_flags(name: str, **bits: int) -> type:
+    """A class of named tags: flags.Name is the TagSet of its bit, NAMES the pairs, registry() a registry of them."""
+    registry = TagRegistry(bits)
+    body = {n: TagSet.of(b) for n, b in bits.items()}
+    return type(name, (), {**body, "NAMES": tuple(bits.items()), "name_of": staticmethod(registry.name), "registry": staticmethod(lambda: TagRegistry(bits))})
+
+
 def any_bit(tag: Column, mask: int) -> Column:
     return tag.bitwiseAND(F.lit(mask & WORD).cast("long")) != 0
 

@@ -236,3 +236,59 @@ def test_chunks_meet_events_by_equality(spark):
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert batches.chunked(spark.range(5).withColumnRenamed("id", "event_id"), []).count() == 0
+
+
+def test_chunks_in_flight_keep_their_order(spark, chain):
+    alone = [(c.start, c.stop, t.column("event_id").to_pylist()) for t, c in chain.iterate(3, P, ["pid"])]
+    assert alone == [(c.start, c.stop, t.column("event_id").to_pylist()) for t, c in chain.iterate(3, P, ["pid"], ahead=2)]
+    assert [e for _, _, ids in alone for e in ids] == list(range(8))
+    assert next(iter(chain.iterate(3, P, ["pid"], ahead=1)))[1].start == 0  # what is in flight is let go
+
+
+def test_summaries_and_statistics(spark, chain, tmp_path):
+    calls = []
+    done = chain.skim(str(tmp_path / "c"), format="eventrec", progress=lambda n, of: calls.append((n, of)))
+    c = EventChain.open(spark, str(tmp_path / "c"))
+    assert (done.events, done.files, done.records) == (8, len(c.files), len(c.records())) and done.bytes == sum(os.path.getsize(f) for f in c.files)
+    assert calls and calls[-1][0] == calls[-1][1] > 0
+    assert chain.skim(str(tmp_path / "p")).bytes > 0
+    stats = c.for_each(lambda e: None, P)
+    assert (stats["events_in"], stats["events_yielded"], stats["records"], stats["files"]) == (8, 8, done.records, done.files) and stats["elapsed"] > 0
+    sizes = {(r[0], r[1]): r[2] for r in c.record_decompressed_sizes().collect()}
+    plain = EventChain.open(spark, str(tmp_path / "c"))
+    assert len(sizes) == len(plain.records()) and min(sizes.values()) > 0
+    with pytest.raises(ValueError):
+        chain.record_decompressed_sizes()
+
+
+def test_event_accessors(chain):
+    e = chain.event(3)
+    assert e.tag == e["event_tag"] and e.size(P) == len(e.bank(P)) and e.has(P) and P in e.structures()
+    assert e.column(P, "pid") == [r["pid"] for r in e[P]]
+    with pytest.raises(KeyError):
+        e.bank("No::Bank")
+    lacking = next(x for x in chain.events() if any(v is None for v in x.values()))
+    none = next(n for n, v in lacking.items() if v is None)
+    view = chain.event(lacking["event_id"])
+    assert not view.has(none) and view.size(none) == 0
+    with pytest.raises(LookupError):
+        view.bank(none)
+    assert len(chain.show(1).splitlines()) == 2 and "more" in chain.show(1) and "more" not in chain.show(None)
+
+
+def test_salvage_of_damaged_files(spark, chain, tmp_path):
+    """Bytes lost, garbled and put in between records: all records that are whole come back."""
+    path = str(tmp_path / "c")
+    many = spark.range(50).withColumnRenamed("id", "k").join(chain._df).withColumn("event_id", F.col("k") * 8 + F.col("event_id")).drop("k")
+    sinks.write(many.coalesce(1).sortWithinPartitions("event_id"), path, format="eventrec", dictionary=chain.dictionary, record_events=40)
+    file = resolve(path)[0]
+    spans = EventChain.open(spark, path).infos[0].spans
+    assert len(spans) == 10
+    raw = bytearray(open(file, "rb").read())
+    raw[spans[2].position + 28] ^= 0xFF  # the magic word of the third record
+    raw[spans[5].position + 70] ^= 0xFF  # the body of the sixth
+    raw[spans[7].position : spans[7].position] = b"\0" * 4 + b"\xff" * 40
+    open(file, "wb").write(raw[:-60])
+    c = EventChain.open(spark, path, salvage=True)
+    assert c.num_entries == 40 * (9 if len(c.infos[0].spans) == 9 else 8)
+    assert c.arrays(P, ["pid"]).count() == c.num_entries and pids(c.arrays(P, ["pid"]))[:80] == (PIDS * 10)[:80]

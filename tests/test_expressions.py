@@ -116,3 +116,25 @@ def test_links_of_a_large_event(spark):
     for p, particle in enumerate(got["P"]):
         assert [r["energy"] for r in particle["D"]] == [d[2] for d in rows[0][2] if d[0] == p]
     assert [r["particle"] and r["particle"]["px"] for r in got["D"]] == [float(d[0]) if 0 <= d[0] < n else None for d in rows[0][2]]
+
+
+def test_sidis_fiducial_and_corrections(spark):
+    df = spark.createDataFrame([((0.3, 0.1, 4.0), (0.2, -0.4, 2.0), [(1, 0.5, 1.0, 2.0), (2, 1.0, 0.0, 0.0)]), ((0.3, 0.1, 4.0), None, [])], "e struct<px:double,py:double,pz:double>, h struct<px:double,py:double,pz:double>, P array<struct<pid:int,px:double,py:double,pz:double>>")
+    k = K.sidis(K.to_vector(F.col("e"), F.lit(0.0)), K.to_vector(F.col("h"), F.lit(0.139)), 10.6)
+    got = df.select(k["z"].alias("z"), k["pt"].alias("pt")).collect()
+    e, h, q = (0.3, 0.1, 4.0), (0.2, -0.4, 2.0), (-0.3, -0.1, 6.6)
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    along = sum(a * b for a, b in zip(h, q, strict=True)) / norm(q)
+    assert got[0]["z"] == pytest.approx(math.sqrt(norm(h) ** 2 + 0.139**2) / (10.6 - norm(e))) and got[0]["pt"] == pytest.approx(math.sqrt(norm(h) ** 2 - along**2))
+    assert got[1]["z"] is None and got[1]["pt"] is None
+    assert [r[0] for r in df.select(K.fiducial(F.col("h"), {"pz": 1.0}, {"px": 0.3})).collect()] == [True, False]
+    fixed = df.select(K.corrected(F.col("P"), ["pid", "px", "py", "pz"], lambda r: F.when(r["pid"] == 1, 2.0).otherwise(1.0)).alias("P")).first()["P"]
+    assert [tuple(r) for r in fixed] == [(1, 1.0, 2.0, 4.0), (2, 1.0, 0.0, 0.0)]
+
+
+def test_named_tags():
+    from jaglet.tags import tag_flags
+
+    Trigger = tag_flags("Trigger", Fcup=0, Random=1)
+    assert (Trigger.Fcup | Trigger.Random) == 3 and Trigger.NAMES == (("Fcup", 0), ("Random", 1)) and Trigger.name_of(1) == "Random" and Trigger.name_of(5) is None
+    assert Trigger.registry().mask("Random") == Trigger.Random
