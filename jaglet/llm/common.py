@@ -20,7 +20,7 @@ BATCH_ROWS, BATCH_BYTES = "1000", "8388608"
 
 
 def session_of(df: DataFrame) -> SparkSession:
-    """The session, with Arrow batches small enough for long texts."""
+    """The session, with Arrow batches small enough for long texts: settings that stay, since plans read them when they run."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -255,8 +255,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """vec_id, n_links, component_id, kept of every row; links are pairs of equal labels with a cosine >= least.
 
     Vectors that are null, zero, empty, or hold null or non-finite numbers link with nothing, as do those without a
-    label or id (the latter have a null component and aren't kept) and those of different lengths. Rows that
-    repeat id, label and vector are one vector; rows that repeat an id alone are one vector in several places, whose
+    label or id (the latter have a null component and aren't kept) and those of different lengths. Ties are links: a
+    cosine of just `least` counts, and of equal vectors the least id stands for all. Rows that repeat id, label and vector are one vector; rows that repeat an id alone are one vector in several places, whose
     links add up. An empty table gives an empty table; other columns aren't read.
     """
     spark = session_of(vectors)
