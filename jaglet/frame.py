@@ -233,7 +233,9 @@ class EventChain:
             options["event_tags"] = json.dumps(sorted(self.spec.event_tags))
         if self.spec.any_mask:
             options["event_tag_any"] = str(int(self.spec.any_mask))
-        return self.spark.read.format(datasource.FORMAT).options(**options).load()
+        # with the schema given, files are opened once a read, to plan it
+        schema = datasource.frame_schema(datasource.selected(self.dictionary, options))
+        return self.spark.read.format(datasource.FORMAT).schema(schema).options(**options).load()
 
     # ---- selecting
 
@@ -301,9 +303,11 @@ class EventChain:
         if any(e < 0 for e in entries):
             raise ValueError("entries are not negative")
         wanted = self.spark.createDataFrame(list(enumerate(entries)), "pos long, event_id long")
-        df = self._events(s.banks).select("event_id", *s.banks)
-        if len(set(entries)) <= 10_000:
-            df = df.where(F.col("event_id").isin(sorted(set(entries))))
+        some = sorted(set(entries))
+        # records outside of the range aren't read; beyond 10,000 entries the join alone picks among the others
+        df = self._events(s.banks, some[0] if some else 0, some[-1] + 1 if some else 0).select("event_id", *[f"`{n}`" for n in s.banks])
+        if len(some) <= 10_000:
+            df = df.where(F.col("event_id").isin(some))
         return wanted.join(df, "event_id", "left").select("pos", "event_id", *[self._rows(b, cols).alias(b) for b, cols in s.banks.items()])
 
     def array(self, bank: str, column: str) -> DataFrame:

@@ -321,12 +321,14 @@ class ArrowWriter(DataSourceArrowWriter):
             w.add(event)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """New files get their names, which no old file has, before old ones go: a crash in between loses nothing."""
         parts = [p for m in messages if m for p in m.paths]
         store, folder = store_of(self.folder)
-        for old in self._there() if self.overwrite else []:
-            store.delete_file(store_of(old)[1])
+        old = self._there() if self.overwrite else []
         for k, path in enumerate(parts):
-            store.move(path, f"{folder}/part-{k:06d}{SUFFIX}")
+            store.move(path, f"{folder}/part-{k:06d}-{self.job}{SUFFIX}")
+        for path in old:
+            store.delete_file(store_of(path)[1])
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = store_of(self.folder)
