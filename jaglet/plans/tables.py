@@ -69,6 +69,12 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
 _written: dict[tuple, str] = {}
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether the shared folder still has a file, which may have been cleaned."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event frame with both banks, as nested Parquet in event order within files.
 
@@ -77,7 +83,7 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     without line items lack the banks.
     """
     key = _stamp(spark, sf_dir)
-    if key not in _written:
+    if key not in _written or not _there(spark, f"{_written[key]}/_SUCCESS"):
         path = f"{shared_dir(spark)}/frame-{uuid.uuid4().hex}"
         df = events(spark, sf_dir).join(banks(spark, sf_dir, "Particle", "Calo"), "event_id", "left")
         df.sortWithinPartitions("event_id").write.option("compression", "zstd").parquet(path)

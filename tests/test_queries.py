@@ -61,3 +61,17 @@ def test_entry(spark):
     if os.path.isdir(DATA):
         assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_event_frame_is_written_once_and_again_when_it_is_gone(spark):
+    import shutil
+
+    from jaglet.plans import tables
+
+    tables.frame(spark, DATA)
+    held = dict(tables._written)
+    assert tables.frame(spark, DATA).count() > 0 and tables._written == held
+    key = next(k for k in held if k[1] == DATA)
+    shutil.rmtree(held[key].removeprefix("file:"))
+    assert tables.frame(spark, DATA).count() > 0 and tables._written[key] != held[key]
